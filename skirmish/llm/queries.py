@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import quality
-from skirmish.llm.common import table
+from skirmish.llm import chat, lines, mixing, quality, urls
+from skirmish.llm.common import table, words
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,155 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+#: The tree of the production mixture: domain, language, source. The two domains' sources and all weights.
+WEB_SOURCES = [f"src{k}" for k in range(10)]
+MIX_WEIGHTS: list[dict[str, float]] = [{"web": 0.5, "curated": 0.5}, {"en": 0.5, "de": 0.2, "es": 0.15, "fr": 0.15}, {}]
+MIX_EPOCHS, MIX_SEED = 2, 1
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The production mixture: as many tokens (words) as docs has, at most two epochs of a source."""
+    domain = F.when(F.col("source").isin(WEB_SOURCES), "web").otherwise("curated")
+    levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, levels, MIX_WEIGHTS, F.size(words(F.col("text"))), None, MIX_EPOCHS, MIX_SEED)
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document the mixture takes, once per epoch."""
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "mix_epoch", "mix_tokens")
+
+
+def _fill_sql(source: str, parent: str, node: str, weight: str) -> str:
+    """SQL of one level of budgeting: source has parent's budget b; caps by node."""
+    return f"""
+  (SELECT {node}, CASE WHEN full_ THEN capacity ELSE greatest(0, weight * first_value(CASE WHEN NOT full_ THEN level END IGNORE NULLS) OVER (PARTITION BY {parent} ORDER BY ratio, {node} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) END AS b
+   FROM (SELECT *, (b - before) / open AS level, ratio <= (b - before) / open AS full_
+     FROM (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+           FROM (SELECT *, capacity / weight AS ratio FROM
+                  (SELECT {node}, sum(capacity)::DOUBLE AS capacity, ({weight})::DOUBLE AS weight FROM caps GROUP BY {node}) JOIN {source} USING ({parent}))
+           WINDOW w AS (PARTITION BY {parent} ORDER BY ratio, {node}))))"""
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT *, coalesce(CASE WHEN source IN ({", ".join(f"'{x}'" for x in WEB_SOURCES)}) THEN 'web' ELSE 'curated' END, '') AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS mix_tokens, 0 AS root
+  FROM documents),
+sums AS (SELECT root, l0, l1, l2, sum(mix_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+caps AS (SELECT *, tokens::DOUBLE * {MIX_EPOCHS} AS capacity FROM sums),
+total AS (SELECT 0 AS root, sum(tokens)::DOUBLE AS b FROM sums),
+f0 AS {_fill_sql("total", "root", "root, l0", "CASE l0 WHEN 'web' THEN 0.5 WHEN 'curated' THEN 0.5 ELSE 1 END")},
+f1 AS {_fill_sql("f0", "root, l0", "root, l0, l1", "CASE l1 WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.2 WHEN 'es' THEN 0.15 WHEN 'fr' THEN 0.15 ELSE 1 END")},
+f2 AS {_fill_sql("f1", "root, l0, l1", "root, l0, l1, l2", "1")},
+plan AS (
+  SELECT l0, l1, l2, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, budget
+  FROM (SELECT *, floor(b + 1e-6)::BIGINT AS budget FROM f2) JOIN sums USING (l0, l1, l2)),
+o AS (
+  SELECT d.*, whole, budget, md5('{MIX_SEED}:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM d JOIN plan USING (l0, l1, l2)),
+p AS (
+  SELECT *, sum(mix_tokens) OVER (PARTITION BY l0, l1, l2 ORDER BY key, doc_id::VARCHAR RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    - sum(mix_tokens) OVER (PARTITION BY l0, l1, l2, key, doc_id) AS before,
+    budget - whole * sum(mix_tokens) OVER (PARTITION BY l0, l1, l2) AS rest
+  FROM o)
+SELECT doc_id, lang, source, unnest(range(1, (whole + CASE WHEN before < rest THEN 1 ELSE 0 END + 1)::BIGINT))::INTEGER AS mix_epoch, mix_tokens FROM p
+"""
+
+#: The rules of op3's contract, as (host, path, verdict).
+URL_RULES = [
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
+]
+#: The listed sites, each with all its pages.
+URL_SITES = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track"]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' and the listed sites' verdict on every page."""
+    listed = URL_RULES + [(f"{site}.example.{top}", "/", "block") for site in URL_SITES for top in ("com", "net", "org")]
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(listed, "host string, path string, verdict string"))
+    # a listed site isn't one of the rules, so its entry is not shown as one
+    rules = [host + path for host, path, _ in URL_RULES]
+    return judged.select("page_id", "host", "path", F.when(F.col("rule").isin(rules), F.col("rule")).alias("rule"), "verdict")
+
+
+OP3_SQL = f"""
+WITH u AS (
+  SELECT page_id, row_number() OVER () AS rid, CASE WHEN contains(url, '://') THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '?', 1), '#', 1) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, rid, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM u),
+r AS (
+  SELECT unnest([{", ".join(f"{{'h': '{h}', 'p': '{p}', 'v': '{v}', 'own': true}}" for h, p, v in URL_RULES)},
+    {", ".join(f"{{'h': '{s}.example.{t}', 'p': '/', 'v': 'block', 'own': false}}" for s in URL_SITES for t in ("com", "net", "org"))}], recursive := true)),
+b AS (
+  SELECT page_id, rid, host, path, h || p AS rule, v, own, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC, v DESC) AS k
+  FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, CASE WHEN own THEN rule END AS rule, coalesce(v, 'allow') AS verdict FROM b WHERE k = 1
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines under later copies of a three-line window."""
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + j) AS gone_at FROM later, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone_at), 0)::BIGINT AS n_removed,
+       CASE WHEN gone_at IS NULL THEN sha256(text) ELSE sha256(coalesce(array_to_string(list_filter(l, lambda x, k: NOT list_contains(gone_at, k)), chr(10)), '')) END AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+#: Fixed value: what both turns of the added conversation say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the added one, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.digests(chat.parse_chats(chat.format_chats(rows.unionByName(extra))))
+
+
+def _chat_sql() -> str:
+    text, role = "text", "role"
+    for plain, coded in chat.ESCAPES.items():
+        literal = "chr(27)" if plain == chat.ESCAPE else f"'{plain}'"
+        text, role = (f"replace({x}, {literal}, chr(27) || '{coded[1]}')" for x in (text, role))
+    opens = " ".join(f"WHEN '{r}' THEN '{m[0]}'" for r, m in chat.MARKS.items())
+    closes = " ".join(f"WHEN '{r}' THEN '{m[1]}'" for r, m in chat.MARKS.items())
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+m AS (SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (
+  SELECT *, CASE WHEN prev = role THEN '{chat.TURN}' ELSE CASE role {opens} ELSE '{chat.OTHER[0]}' || {role} || '{chat.OTHER[1]}' END END || {text}
+    || CASE WHEN next = role THEN '' ELSE CASE role {closes} ELSE '{chat.OTHER[2]}' END END AS piece
+  FROM m)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(piece))::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_url_filters": op3_url_filters,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_chat_format": op6_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op2_mix_sources": OP2_SQL,
+    "op3_url_filters": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op6_chat_format": _chat_sql(),
 }
