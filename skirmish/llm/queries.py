@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import chat, lines, mixing, quality, urls
+from skirmish.llm import chat, lines, minhash, mixing, quality, urls
 from skirmish.llm.common import table, words
 
 
@@ -133,6 +133,28 @@ SELECT page_id, host, path, CASE WHEN own THEN rule END AS rule, coalesce(v, 'al
 """
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and verdict of every document, on shingles of four words at 80 %."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 80)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT x, b FROM reach JOIN both_ways ON y = a),
+comp AS (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the lines under later copies of a three-line window."""
     kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -188,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_url_filters": op3_url_filters,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
 }
@@ -196,6 +219,7 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op2_mix_sources": OP2_SQL,
     "op3_url_filters": OP3_SQL,
+    "op4_minhash_dedup": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_chat_format": _chat_sql(),
 }
