@@ -74,3 +74,19 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids that restricted() may send to every task: at 16 to 24 bytes each some 10 MB.
+BROADCAST_IDS = 400_000
+
+
+def restricted(df: DataFrame, ids: DataFrame, outside: bool = False) -> DataFrame:
+    """The rows of df whose columns of ids' names occur in ids, or with outside those that don't.
+
+    ids should be stored(): its rows are counted first. Up to BROADCAST_IDS are broadcast, so that df, which holds the
+    texts, stays where it is; more are joined by a shuffle.
+    """
+    keys = ids.distinct()
+    if ids.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return df.join(keys, ids.columns, "left_anti" if outside else "left_semi")

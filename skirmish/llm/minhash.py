@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,28 +13,51 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import discard, stored
+from skirmish.llm.common import discard, restricted, stored
 from skirmish.llm.components import components
 
-#: 40 bands of 6 samples miss a pair of similarity 0.8 with a probability of 5e-6.
-BANDS, ROWS = 40, 6
-SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch, kept as 64-bit words.
-SKETCH_BITS = 1024
-#: A pair goes on to the exact check if its sketches estimate at least the threshold less this margin (5.7 standard deviations).
-MARGIN = 0.18
+#: Standard deviations that a sketch may be off before a true link is lost.
+DEVIATIONS = 6.5
 #: Members of a bucket are compared in blocks of so many strays against so many members.
 STRAYS, MEMBERS = 128, 512
 
-_rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
-_BAND_MULTIPLY = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_BAND_ADD = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
-_BIT_MULTIPLY = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Bands and rows of MinHash samples; bits of the odd sketch of the samples, and of the one of the whole set.
+
+    A pair of similarity s becomes a candidate with the probability 1 - (1 - s^rows)^bands.
+    """
+
+    bands: int
+    rows: int
+    sample_bits: int
+    whole_bits: int
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+    def sample_limit(self, similarity: float) -> int:
+        """The most bits in which the sample sketches of two sets of at least this similarity should differ."""
+        least = similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / self.samples)
+        return math.ceil(self.sample_bits / 2 * (1 - math.exp(-4 * self.samples * (1 - least) / self.sample_bits)))
+
+
+#: For documents: misses a pair of similarity 0.8 with a probability of 5e-6.
+DOCUMENTS = Plan(40, 6, 1024, 2048)
+
+
+@lru_cache
+def _random(plan: Plan) -> tuple[np.ndarray, ...]:
+    rng = np.random.default_rng(20240229)
+    odd = lambda *shape: rng.integers(0, 2**63, shape, dtype=np.uint64) | np.uint64(1)
+    small = lambda: rng.integers(0, 2**32, plan.samples, dtype=np.uint32)
+    return small() | np.uint32(1), small(), odd(plan.bands, plan.rows), odd(plan.bands), odd(plan.samples)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -52,41 +77,59 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(h + np.uint64(size)))
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, and the odd sketch: each sample flips one bit, so equal samples cancel in the XOR of two sketches."""
+def _parity(places: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount((places % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def signature(hashes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys and two odd sketches, of the MinHash samples and of all hashes.
+
+    A member flips one bit, so that what two sets share cancels in the XOR of their sketches.
+    """
+    multiply, add, band_multiply, band_add, bit_multiply = _random(plan)
     h = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 2**32 - 1, np.uint32)
+    least = np.full(plan.samples, 2**32 - 1, np.uint32)
     for at in range(0, len(h), 256):
-        np.minimum(least, (h[at : at + 256, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
+        np.minimum(least, (h[at : at + 256, None] * multiply + add).min(axis=0), out=least)
     least = least.astype(np.uint64)
-    keys = _mix((least.reshape(BANDS, ROWS) * _BAND_MULTIPLY).sum(axis=1, dtype=np.uint64) + _BAND_ADD)
-    bits = _mix((least + np.arange(SAMPLES, dtype=np.uint64)) * _BIT_MULTIPLY) % np.uint64(SKETCH_BITS)
-    parity = (np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(parity).view(np.int64)
+    keys = _mix((least.reshape(plan.bands, plan.rows) * band_multiply).sum(axis=1, dtype=np.uint64) + band_add)
+    samples = _parity(_mix((least + np.arange(plan.samples, dtype=np.uint64)) * bit_multiply), plan.sample_bits)
+    return keys.view(np.int64), samples, _parity(hashes >> np.uint64(17), plan.whole_bits)
+
+
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    found = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (found >> 64) - 2**63, (found & (2**64 - 1)) - 2**63
+
 
+SIGNED = "n_shingles long, hi long, lo long, keys array<long>, sample array<long>, whole array<long>"
 
-def flips(similarity: float) -> int:
-    """The most bits in which the sketches of two sets of at least this similarity should differ."""
-    return math.floor(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
 
+def signed(text: str | None, size: int, plan: Plan) -> tuple:
+    """The columns of SIGNED for a text."""
+    hashes = shingles(text, size)
+    return (len(hashes), *fingerprint(hashes), *(signature(hashes, plan) if len(hashes) else (None, None, None)))
 
-def sketch_distance(a: Column, b: Column) -> Column:
+
+def _differ(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def _signatures(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                hashes = shingles(text, size)
-                keys, sketch = signature(hashes) if len(hashes) else (None, None)
-                print_ = xxhash.xxh3_128_intdigest(hashes.tobytes())
-                rows.append((doc_id, len(hashes), (print_ >> 64) - 2**63, (print_ & (2**64 - 1)) - 2**63, keys, sketch))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "hi", "lo", "keys", "sketch"])
-            yield out.astype({"doc_id": "Int64"})
+def _whole_limit(n, percent: int, bits: int, exp, sqrt):
+    """The most bits in which the whole sketches of two sets of n shingles together, alike to percent, should differ."""
+    most = n * (100 - percent) / (100 + percent)
+    left = exp(-4 * most / bits)
+    # the variance of the count; the addend covers that it is an approximation
+    return bits / 2 * (1 - exp(-2 * most / bits)) + DEVIATIONS * sqrt(bits / 4 * (1 - left) - most * left + 1)
 
-    return run
+
+def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int, plan: Plan) -> DataFrame:
+    side = lambda a: nodes.select(F.col("id").alias(a), *[F.col(c).alias(f"{a}_{c}") for c in ("n_shingles", "sample", "whole")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    alike = 100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles")
+    near = _differ(F.col("a_sample"), F.col("b_sample")) <= plan.sample_limit(percent / 100)
+    whole = _differ(F.col("a_whole"), F.col("b_whole")) <= _whole_limit(F.col("a_n_shingles") + F.col("b_n_shingles"), percent, plan.whole_bits, F.exp, F.sqrt)
+    return both.where(alike & near & whole).select("a", "b")
 
 
 def _confirm(size: int, percent: int):
@@ -105,28 +148,34 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have at least this percentage of their union in common."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = stored(texts.join(ids, "doc_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    own = stored(texts(ids))
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
+    both = both.join(own.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
     links = stored(both.select("a", "b", "a_text", "b_text").mapInPandas(_confirm(size, percent), "a long, b long").distinct())
-    discard(texts)
+    discard(own)
     return links
 
 
-def _cross(limit: int):
+def _cross(percent: int, plan: Plan):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         strays, members = group[group["stray"]], group[~group["stray"]]
         if not len(strays) or not len(members):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        words = lambda g: np.stack(g["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        s, m = words(strays), words(members)
-        differ = np.zeros((len(s), len(m)), np.int32)
-        for k in range(s.shape[1]):
-            differ += np.bitwise_count(s[:, k, None] ^ m[None, :, k])
-        near = (differ <= limit) & (strays["label"].to_numpy()[:, None] != members["label"].to_numpy()[None, :])
+
+        def differ(column: str) -> np.ndarray:
+            s, m = (np.stack(g[column].to_numpy()).astype(np.int64).view(np.uint64) for g in (strays, members))
+            out = np.zeros((len(s), len(m)), np.int32)
+            for k in range(s.shape[1]):
+                out += np.bitwise_count(s[:, k, None] ^ m[None, :, k])
+            return out
+
+        n, k = strays["n_shingles"].to_numpy()[:, None], members["n_shingles"].to_numpy()[None, :]
+        near = strays["label"].to_numpy()[:, None] != members["label"].to_numpy()[None, :]
+        near &= (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & (differ("sample") <= plan.sample_limit(percent / 100))
+        near &= differ("whole") <= _whole_limit(n + k, percent, plan.whole_bits, np.exp, np.sqrt)
         i, j = np.nonzero(near)
         x, y = strays["id"].to_numpy()[i], members["id"].to_numpy()[j]
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
@@ -134,7 +183,7 @@ def _cross(limit: int):
     return run
 
 
-def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, plan: Plan) -> DataFrame:
     """Sketch-near pairs (a, b) within a bucket whose two sets are not connected yet.
 
     Only buckets of three or more sets with more than one label matter. In each, the sets of the most frequent label
@@ -144,14 +193,49 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, limit:
     labelled = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
-    mixed = mixed.where("n > 2 AND parts > 1").select("key", "main", F.ceil((F.col("n") - F.col("most")) / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"))
-    rows = labelled.join(mixed, "key").join(nodes.select("id", "sketch"), "id")
+    mixed = stored(mixed.where("n > 2 AND parts > 1").select("key", "main", F.ceil((F.col("n") - F.col("most")) / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols")))
+    carried = ["id", "label", "n_shingles", "sample", "whole"]
+    rows = labelled.join(mixed, "key").join(nodes.select("id", "n_shingles", "sample", "whole"), "id")
     spot = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     members = rows.withColumn("stray", F.lit(False)).withColumn("col", spot(1, "cols")).withColumn("row", F.explode(upto("rows")))
     strays = rows.where("label != main").withColumn("stray", F.lit(True)).withColumn("row", spot(2, "rows")).withColumn("col", F.explode(upto("cols")))
-    cells = members.select("key", "row", "col", "stray", "id", "label", "sketch").union(strays.select("key", "row", "col", "stray", "id", "label", "sketch"))
-    return cells.groupBy("key", "row", "col").applyInPandas(_cross(limit), "a long, b long").distinct()
+    cells = members.select("key", "row", "col", "stray", *carried).union(strays.select("key", "row", "col", "stray", *carried))
+    return cells.groupBy("key", "row", "col").applyInPandas(_cross(percent, plan), "a long, b long").distinct()
+
+
+def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, percent: int, plan: Plan, also: DataFrame | None = None) -> DataFrame:
+    """``id`` and ``label``, the smallest id of its component, for every node that is linked to another.
+
+    nodes: id long, n_shingles, keys, sample, whole; the sets are distinct and not empty. texts: gives (id, text) for a
+    table of ids. also: more links (a, b). Each node of a bucket is paired with the bucket's smallest id, then, where
+    that leaves a bucket unconnected, with the bucket's other unconnected parts.
+    """
+    buckets = nodes.select("id", F.explode("keys").alias("key"))
+    centers = stored(buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_m")).where("b < _m").select("key", "b"))
+    members = stored(buckets.join(centers, "key"))
+    discard(centers)
+    stars = stored(_sifted(members.where("id != b").select(F.col("id").alias("a"), "b").distinct(), nodes, percent, plan))
+    links = confirmed(stars, texts, size, percent)
+    if also is not None:
+        links = links.union(also)
+    labels = stored(components(links))
+    more = stored(cross_pairs(members.select("key", "id"), nodes, labels, percent, plan).join(stars, ["a", "b"], "left_anti"))
+    if more.limit(1).count():
+        labels = stored(components(stored(links.union(confirmed(more, texts, size, percent)))))
+    for old in (members, stars, more):
+        discard(old)
+    return labels
+
+
+def _documents(size: int, plan: Plan):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(doc_id, *signed(text, size, plan)) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)]
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "hi", "lo", "keys", "sample", "whole"])
+            yield out.astype({"doc_id": "Int64"})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -159,50 +243,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     Documents are linked if their sets of word shingles (``size`` words, A-Z lower-cased) share ``percent`` of their
     union. component_id is the smallest id reachable over links; one document of a component, the one of that id, is kept.
-
-    Equal sets are merged by a 128-bit fingerprint first, so exact copies never meet again. The distinct sets are banded by
-    MinHash; each set of a bucket is paired with the bucket's smallest id, then, where that leaves a bucket
-    unconnected, with the bucket's other unconnected parts. Pairs are sifted by odd sketches, and the rest confirmed on full sets.
+    Equal sets are merged by a 128-bit fingerprint first, so exact copies never meet again; linked() does the rest.
 
     Null and empty texts, and texts without words, have the empty set: linked with nothing, component_id is their own id.
     A null id can't be linked: its component_id is null and it is kept. Rows that repeat an id are one document: links
     of each of its texts count for all, each row shows its own n_shingles. Further columns of docs are ignored. An empty
     table gives an empty table. Texts are hashed whole, one at a time, whatever their length.
     """
-    limit = flips(percent / 100 - MARGIN)
+    plan = DOCUMENTS
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_shingles long, hi long, lo long, keys array<long>, sketch array<long>"
-    signed = stored(plain.mapInPandas(_signatures(size), schema))
-    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = linkable.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
-    rows = stored(signed.select("doc_id", "n_shingles", "hi", "lo").join(reps, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("id")))
-    nodes = stored(linkable.join(reps, ["hi", "lo"]).where("doc_id = id").select("id", "n_shingles", "keys", "sketch"))
-    discard(signed)
-
-    buckets = nodes.select("id", F.explode("keys").alias("key"))
-    centers = buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_m")).where("b < _m").drop("_m")
-    members = stored(buckets.join(centers, "key"))
-    stars = members.where("id != b").select(F.col("id").alias("a"), "b").distinct()
-    side = lambda a: nodes.select(F.col("id").alias(a), F.col("sketch").alias(f"{a}_sketch"), F.col("n_shingles").alias(f"{a}_n"))
-    stars = stars.join(side("a"), "a").join(side("b"), "b")
-    alike = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    stars = stored(stars.where(alike & (sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= limit)).select("a", "b"))
+    signs = stored(plain.mapInPandas(_documents(size, plan), f"doc_id long, {SIGNED}"))
+    linkable = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = stored(linkable.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")))
+    rows = signs.select("doc_id", "n_shingles", "hi", "lo").join(reps, ["hi", "lo"], "left")
+    rows = stored(rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("id")))
+    nodes = stored(linkable.join(reps, ["hi", "lo"]).where("doc_id = id").select("id", "n_shingles", "keys", "sample", "whole"))
+    discard(signs)
     # an id with several texts stands for several sets
     twice = rows.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("_m")).where("b < _m").select("doc_id", "b")
     same = rows.join(twice, "doc_id").where("id != b").select(F.col("id").alias("a"), "b")
-    links = confirmed(stars, plain, size, percent).union(same)
-    labels = stored(components(links))
-    more = stored(cross_pairs(members.select("key", "id"), nodes, labels, limit).join(stars, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = stored(links.union(confirmed(more, plain, size, percent)))
-        labels = stored(components(links))
-    for old in (nodes, members, stars, more):
-        discard(old)
+    named = plain.withColumnRenamed("doc_id", "id")
+    labels = linked(nodes, lambda ids: restricted(named, ids), size, percent, plan, same)
+    discard(nodes)
     component = F.coalesce("label", "id")
     return rows.join(labels, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates of an earlier id, with the columns of docs. Rows that repeat an id all stay."""
-    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id")
+    return restricted(docs, stored(gone.distinct()), outside=True)
