@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import chat, lines, minhash, mixing, quality, urls
-from skirmish.llm.common import table, words
+from skirmish.llm import chat, decontam, lines, minhash, mixing, paragraphs, quality, suffix, tokens, urls
+from skirmish.llm.common import scratch, table, words
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +206,37 @@ FROM p GROUP BY conv_id
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the edit distance."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without near copies of earlier paragraphs."""
+    kept = paragraphs.drop_repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_paragraphs", F.size("gone").cast("long").alias("n_removed"), "gone", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, size and checksum of every document's ids, read back from the files."""
+    path = scratch(spark)
+    tokens.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, word_tokenizer())
+    return tokens.digests(tokens.read_tokens(spark, path))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 200 bytes."""
+    cut = suffix.cut_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -213,6 +244,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
+    "op7_decontamination": op7_decontamination,
+    "op8_paragraph_dedup": op8_paragraph_dedup,
+    "op9_token_ids": op9_token_ids,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
