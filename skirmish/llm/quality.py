@@ -110,4 +110,7 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
     plain = docs.select(F.struct("*").alias("_row"), F.col(text).alias("text"))
-    return annotate(plain, rules).where("kept").select("_row.*")
+    # The optimizer would copy the metrics into a filter, each as often as it is used, and the filter would take for ever.
+    # It leaves filters on columns that aren't deterministic where they are; rand() is below 1.
+    sure = annotate(plain, rules).select("_row", (F.col("kept").cast("int") + F.rand(0)).alias("_kept"))
+    return sure.where("_kept >= 1").select("_row.*")
