@@ -177,6 +177,10 @@ def _cross(percent: int, plan: Plan):
         near &= (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & (differ("sample") <= plan.sample_limit(percent / 100))
         near &= differ("whole") <= _whole_limit(n + k, percent, plan.whole_bits, np.exp, np.sqrt)
         i, j = np.nonzero(near)
+        # a pair that meets in several buckets counts in the first one that it shares
+        own, other = (np.stack(g["keys"].to_numpy()) for g in (strays, members))
+        shared = own[i, (own[i] == other[j]).argmax(axis=1)] == group["key"].iloc[0]
+        i, j = i[shared], j[shared]
         x, y = strays["id"].to_numpy()[i], members["id"].to_numpy()[j]
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
 
@@ -194,8 +198,8 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
     mixed = stored(mixed.where("n > 2 AND parts > 1").select("key", "main", F.ceil((F.col("n") - F.col("most")) / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols")))
-    carried = ["id", "label", "n_shingles", "sample", "whole"]
-    rows = labelled.join(mixed, "key").join(nodes.select("id", "n_shingles", "sample", "whole"), "id")
+    carried = ["id", "label", "n_shingles", "keys", "sample", "whole"]
+    rows = labelled.join(mixed, "key").join(nodes.select("id", "n_shingles", "keys", "sample", "whole"), "id")
     spot = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     members = rows.withColumn("stray", F.lit(False)).withColumn("col", spot(1, "cols")).withColumn("row", F.explode(upto("rows")))
