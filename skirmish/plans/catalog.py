@@ -206,10 +206,10 @@ def filtered_counts(spark, d):
 
 
 GAP = 12 * 3600
-_SESSIONS = f"""m AS (SELECT *, CASE WHEN event_type <> 'error' THEN epoch_us(ts) / 1e6 END AS at FROM messages),
-b AS (SELECT *, last_value(at IGNORE NULLS) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
-n AS (SELECT *, sum(CASE WHEN at IS NOT NULL AND (before IS NULL OR at - before > {GAP}) THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k, count(at) OVER (PARTITION BY channel) AS some FROM b),
-s AS (SELECT *, CASE WHEN some > 0 THEN greatest(k, 1)::BIGINT END AS session FROM n),
+_SESSIONS = f"""m AS (SELECT *, CASE WHEN event_type <> 'error' THEN epoch_us(ts) / 1e6 END AS own FROM messages),
+b AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
+n AS (SELECT *, sum(CASE WHEN own IS NOT NULL AND (before IS NULL OR own - before > {GAP}) THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k, count(own) OVER (PARTITION BY channel) AS voiced FROM b),
+s AS (SELECT *, CASE WHEN voiced > 0 THEN greatest(k, 1)::BIGINT END AS session FROM n),
 t AS (SELECT channel, session, min(ts) FILTER (event_type <> 'error') AS started_at, max(ts) FILTER (event_type <> 'error') AS ended_at, count(*)::BIGINT AS messages,
   count_if(event_type IN ('view', 'click'))::BIGINT AS chat_messages FROM s WHERE session IS NOT NULL GROUP BY ALL)"""
 
@@ -248,10 +248,10 @@ def gap_groups_inclusive(spark, d):
     return sessions.gap_groups(table(spark, d, "events"), ["user_id"], "ts", 7200, True, "event_id").select("event_id", "part")
 
 
-@query("""SELECT ts::DATE AS day, count_if(event_type = 'click')::BIGINT AS click, count_if(event_type = 'view')::BIGINT AS view, count_if(event_type = 'purchase')::BIGINT AS purchase FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1""")
+@query("""SELECT ts::DATE::VARCHAR AS day, count_if(event_type = 'click')::BIGINT AS click, count_if(event_type = 'view')::BIGINT AS view, count_if(event_type = 'purchase')::BIGINT AS purchase FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1""")
 def events_by_day_pivot(spark, d):
     rows = table(spark, d, "events").where(F.col("event_type").isin("click", "view", "purchase"))
-    return rows.groupBy(F.to_date("ts").alias("day")).pivot("event_type", ["click", "view", "purchase"]).count().na.fill(0)
+    return rows.groupBy(F.to_date("ts").cast("string").alias("day")).pivot("event_type", ["click", "view", "purchase"]).count().na.fill(0)
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
@@ -264,9 +264,9 @@ def share_of_total(spark, d):
 
 @query("""WITH w AS (SELECT date_trunc('week', ts)::DATE AS week, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1),
 e AS (SELECT unnest(generate_series((SELECT min(week) FROM w)::TIMESTAMP, (SELECT max(week) FROM w)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS week)
-SELECT week, coalesce(n, 0)::BIGINT AS n FROM e LEFT JOIN w USING (week)""")
+SELECT week::VARCHAR AS week, coalesce(n, 0)::BIGINT AS n FROM e LEFT JOIN w USING (week)""")
 def weekly_activity_filled(spark, d):
-    return sessions.weekly_series(table(spark, d, "events").where("event_type = 'signup'"), "ts")
+    return sessions.weekly_series(table(spark, d, "events").where("event_type = 'signup'"), "ts").withColumn("week", F.col("week").cast("string"))
 
 
 @query("""SELECT printf('%04d-%02d', isoyear(ts), weekofyear(ts)) AS week, count(DISTINCT user_id)::BIGINT AS users, count(DISTINCT user_id % 8)::BIGINT AS teams,
@@ -277,11 +277,11 @@ def engagement_weekly(spark, d):
     return schedule.engagement(rows, C.week_id(F.col("ts")))
 
 
-@query("""SELECT DISTINCT o_orderdate::DATE AS day, isoyear(o_orderdate)::INT AS year, weekofyear(o_orderdate)::INT AS week, date_trunc('week', o_orderdate)::DATE AS monday,
-  (date_trunc('week', o_orderdate)::DATE + INTERVAL 6 DAY)::DATE AS sunday FROM orders""")
+@query("""SELECT DISTINCT o_orderdate::DATE::VARCHAR AS day, isoyear(o_orderdate)::INT AS year, weekofyear(o_orderdate)::INT AS week, date_trunc('week', o_orderdate)::DATE::VARCHAR AS monday,
+  (date_trunc('week', o_orderdate)::DATE + INTERVAL 6 DAY)::DATE::VARCHAR AS sunday FROM orders""")
 def iso_week_parts(spark, d):
     ts, week = F.col("o_orderdate"), C.week_id(F.col("o_orderdate"))
-    return table(spark, d, "orders").select(F.to_date(ts).alias("day"), C.iso_year(ts).alias("year"), F.weekofyear(ts).alias("week"), C.monday_of_week(week).alias("monday"), F.to_date(C.week_expiry(week)).alias("sunday")).distinct()
+    return table(spark, d, "orders").select(F.to_date(ts).cast("string").alias("day"), C.iso_year(ts).alias("year"), F.weekofyear(ts).alias("week"), C.monday_of_week(week).cast("string").alias("monday"), F.to_date(C.week_expiry(week)).cast("string").alias("sunday")).distinct()
 
 
 @query("""SELECT event_id, list_extract(['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'], isodow(ts)) || printf('_%02d%02d', hour(ts), minute(ts) // 30 * 30) AS slot,
@@ -291,9 +291,9 @@ def slot_from_ts(spark, d):
     return table(spark, d, "events").select("event_id", slot.alias("slot"), C.shifted(C.slot_number_of(slot), 1).alias("cet"))
 
 
-@query("SELECT DISTINCT o_orderdate::DATE AS day, ((date_trunc('month', o_orderdate) - INTERVAL 3 MONTH)::DATE + (day(o_orderdate) - 1)::INT)::DATE AS cutoff FROM orders")
+@query("SELECT DISTINCT o_orderdate::DATE::VARCHAR AS day, ((date_trunc('month', o_orderdate) - INTERVAL 3 MONTH)::DATE + (day(o_orderdate) - 1)::INT)::DATE::VARCHAR AS cutoff FROM orders")
 def month_lookback(spark, d):
-    return table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), C.months_before(F.col("o_orderdate"), 3).alias("cutoff")).distinct()
+    return table(spark, d, "orders").select(F.to_date("o_orderdate").cast("string").alias("day"), C.months_before(F.col("o_orderdate"), 3).cast("string").alias("cutoff")).distinct()
 
 
 @query("SELECT event_id, floor(value - 100.5 + 0.5)::BIGINT AS rounded, floor(value * 1000 + 0.5) / 1000 AS to_three FROM events")
