@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     linkable = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stored(linkable.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")))
     rows = signs.select("doc_id", "n_shingles", "hi", "lo").join(reps, ["hi", "lo"], "left")
-    rows = stored(rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("id")))
+    rows = stored(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("id")).otherwise(F.col("doc_id")).alias("id")))
     nodes = stored(linkable.join(reps, ["hi", "lo"]).where("doc_id = id").select("id", "n_shingles", "keys", "sample", "whole"))
     discard(signs)
     # an id with several texts stands for several sets
