@@ -229,10 +229,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs: doc_id long, v int, text, none null; v tells texts of one id apart. Only texts with such strings are returned.
     """
     found = stored(docs.mapInPandas(_elect, "g long, doc_id long, v int, lo int, d int, n int"))
-    often = found.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g")
+    # written, so that the join deals both sides anew and may split a gram of very many elections
+    often = stored(found.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g"))
     mine = found.join(often, "g", "left_semi").groupBy("doc_id", "v").agg(F.collect_list(F.struct("g", "lo", "d", "n")).alias("_f"))
     mine = stored(mine.select("doc_id", "v", *[F.col(f"_f.{c}").alias(c) for c in ("g", "lo", "d", "n")]))
     discard(found)
+    discard(often)
     texts = restricted(docs, mine.select("doc_id", "v")).join(mine, ["doc_id", "v"])
     strings = stored(texts.mapInPandas(_strings, ", ".join(f"{c} {t}" for c, t in _STRINGS.items())))
     discard(mine)
