@@ -113,7 +113,8 @@ URL_SITES = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track"]
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules' and the listed sites' verdict on every page."""
     listed = URL_RULES + [(f"{site}.example.{top}", "/", "block") for site in URL_SITES for top in ("com", "net", "org")]
-    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(listed, "host string, path string, verdict string"))
+    entries = F.array(*[F.struct(*[F.lit(x).alias(a) for a, x in zip(("host", "path", "verdict"), e, strict=True)]) for e in listed])
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), spark.range(1).select(F.inline(entries)))
     # a listed site isn't one of the rules, so its entry is not shown as one
     rules = [host + path for host, path, _ in URL_RULES]
     return judged.select("page_id", "host", "path", F.when(F.col("rule").isin(rules), F.col("rule")).alias("rule"), "verdict")
