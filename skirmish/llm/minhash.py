@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], size: i
     return links
 
 
-def _cross(percent: int, plan: Plan):
+def _cross(percent: int, plan: Plan, nearest: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         strays, members = group[group["stray"]], group[~group["stray"]]
         if not len(strays) or not len(members):
@@ -175,20 +175,26 @@ def _cross(percent: int, plan: Plan):
         n, k = strays["n_shingles"].to_numpy()[:, None], members["n_shingles"].to_numpy()[None, :]
         near = strays["label"].to_numpy()[:, None] != members["label"].to_numpy()[None, :]
         near &= (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & (differ("sample") <= plan.sample_limit(percent / 100))
-        near &= differ("whole") <= _whole_limit(n + k, percent, plan.whole_bits, np.exp, np.sqrt)
+        whole = differ("whole")
+        near &= whole <= _whole_limit(n + k, percent, plan.whole_bits, np.exp, np.sqrt)
         i, j = np.nonzero(near)
         # a pair that meets in several buckets counts in the first one that it shares
         own, other = (np.stack(g["keys"].to_numpy()) for g in (strays, members))
         shared = own[i, (own[i] == other[j]).argmax(axis=1)] == group["key"].iloc[0]
         i, j = i[shared], j[shared]
+        if nearest:
+            order = np.lexsort((whole[i, j], i))
+            i, j = i[order], j[order]
+            first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
+            i, j = i[first], j[first]
         x, y = strays["id"].to_numpy()[i], members["id"].to_numpy()[j]
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
 
     return run
 
 
-def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, plan: Plan) -> DataFrame:
-    """Sketch-near pairs (a, b) within a bucket whose two sets are not connected yet.
+def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, plan: Plan, nearest: bool) -> DataFrame:
+    """Sketch-near pairs (a, b) within a bucket whose two sets are not connected yet, all or each block's nearest of a stray.
 
     Only buckets of three or more sets with more than one label matter. In each, the sets of the most frequent label
     are its main part and the others strays; blocks of strays meet blocks of all members, so that no task holds a
@@ -205,15 +211,16 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent
     members = rows.withColumn("stray", F.lit(False)).withColumn("col", spot(1, "cols")).withColumn("row", F.explode(upto("rows")))
     strays = rows.where("label != main").withColumn("stray", F.lit(True)).withColumn("row", spot(2, "rows")).withColumn("col", F.explode(upto("cols")))
     cells = members.select("key", "row", "col", "stray", *carried).union(strays.select("key", "row", "col", "stray", *carried))
-    return cells.groupBy("key", "row", "col").applyInPandas(_cross(percent, plan), "a long, b long").distinct()
+    return cells.groupBy("key", "row", "col").applyInPandas(_cross(percent, plan, nearest), "a long, b long").distinct()
 
 
 def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, percent: int, plan: Plan, also: DataFrame | None = None) -> DataFrame:
     """``id`` and ``label``, the smallest id of its component, for every node that is linked to another.
 
     nodes: id long, n_shingles, keys, sample, whole; the sets are distinct and not empty. texts: gives (id, text) for a
-    table of ids. also: more links (a, b). Each node of a bucket is paired with the bucket's smallest id, then, where
-    that leaves a bucket unconnected, with the bucket's other unconnected parts.
+    table of ids. also: more links (a, b). Each node of a bucket is paired with the bucket's smallest id; where that
+    leaves a bucket unconnected, the nodes outside its main part with the nearest of another part, which mostly joins what
+    belongs together; and then all that is still apart with the bucket's other parts.
     """
     buckets = nodes.select("id", F.explode("keys").alias("key"))
     centers = stored(buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_m")).where("b < _m").select("key", "b"))
@@ -223,12 +230,14 @@ def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
     links = confirmed(stars, texts, size, percent)
     if also is not None:
         links = links.union(also)
-    labels = stored(components(links))
-    more = stored(cross_pairs(members.select("key", "id"), nodes, labels, percent, plan).join(stars, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        labels = stored(components(stored(links.union(confirmed(more, texts, size, percent)))))
-    for old in (members, stars, more):
-        discard(old)
+    labels, tested = stored(components(links)), stars
+    for nearest in (True, False):
+        more = stored(cross_pairs(members.select("key", "id"), nodes, labels, percent, plan, nearest).join(tested, ["a", "b"], "left_anti"))
+        if not more.limit(1).count():
+            continue
+        links, tested = stored(links.union(confirmed(more, texts, size, percent))), tested.union(more)
+        labels = stored(components(links))
+    discard(members)
     return labels
 
 
