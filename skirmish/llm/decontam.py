@@ -92,7 +92,8 @@ class Items:
                 self.index[t] = (key[order], item[order], offset[order], seen, np.uint64(64 - bits))
 
     def candidates(self, w: np.ndarray) -> np.ndarray:
-        """Distinct (window start, item) pairs; starts are where the item's first word should stand, to within four words."""
+        """Distinct (window start, item, matched word) rows; starts are where the item's first word should stand, to within
+        four words, and may lie before the document that the matched word stands in."""
         out = []
         for t, (key, item, offset, seen, shift) in self.index.items():
             for own in walk_keys(w, t):
@@ -101,8 +102,9 @@ class Items:
                 n = hi - lo
                 if n.any():
                     which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    out.append(np.stack([(np.repeat(at, n) - offset[which]) // 4 * 4, item[which]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+                    word = np.repeat(at, n)
+                    out.append(np.stack([(word - offset[which]) // 4 * 4, item[which], word], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
 
 def edit_distance_within(pattern: bytes, text: bytes) -> int:
@@ -153,10 +155,10 @@ def _leaks(items: Items, found: list[bytes], ids: np.ndarray, ends: np.ndarray,
     if not len(pairs):
         return []
     starts = np.concatenate([[0], ends[:-1]])
-    # a walk that leaves its document gives a start that the exact check rejects
-    anchors = np.clip(pairs[:, 0] + LEAST_WORDS // 2, 0, len(found) - 1)
-    docs = np.searchsorted(ends, anchors, "right")
-    for (start, item), doc in zip(pairs.tolist(), docs.tolist(), strict=True):
+    # the matched word tells the document: an item that lost its first words starts before it
+    docs = np.searchsorted(ends, pairs[:, 2], "right")
+    windows = np.unique(np.stack([pairs[:, 0], pairs[:, 1], docs], axis=1), axis=0)
+    for start, item, doc in windows.tolist():
         if best.get((doc, item)) == 0:
             continue
         wanted = items.words[item]

@@ -178,6 +178,17 @@ def test_leaks_in_blocks(spark, leak_rows, monkeypatch):
     assert set(map(tuple, decontam.find_leaks(frame, bench).collect())) == whole
 
 
+def test_leaks_without_their_first_words_at_the_start_of_later_documents(spark):
+    """Items of 60 words that lost 2 to 5 of them, in documents that are not the first of their batch."""
+    rng = random.Random(4)
+    items = [(k, " ".join(words(rng, 60))) for k in range(20)]
+    docs = [(-1, " ".join(words(rng, 50)))]
+    docs += [(k, " ".join(item.split()[2 + k % 4 :] + words(rng, 30 + k))) for k, item in items]
+    frame, bench = spark.createDataFrame(docs, TEXTS).coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r)[:2] for r in decontam.find_leaks(frame, bench).collect()}
+    assert got == set(leaks_brute(docs, items)) and len(got) == 20
+
+
 def paragraphs_brute(rows, least=paragraphs.LEAST_WORDS):
     places = sorted({(i, k, line) for i, text in rows for k, line in enumerate((text or "").split("\n")) if len(line.split()) >= least}, key=lambda p: (p[0], p[1]))
     label = near_brute([(n, p[2]) for n, p in enumerate(places)])
