@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK random walks and bit sampling find candidate windows, exact edit distances decide."""
+"""Benchmark decontamination: exact pieces of the items on near diagonals find candidate windows, exact edit distances decide."""
 
 from __future__ import annotations
 
@@ -7,29 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Steps of a walk, for items of at least so many words; shorter items take the shorter walk.
-WALKS = (10, 8)
 #: Items of fewer words can't be told from ordinary text and are not looked for.
-LEAST_WORDS = WALKS[-1]
-#: Keys per window, and walk positions that a key samples.
-KEYS, SAMPLED = 4, 5
+LEAST_WORDS = 8
+#: Bytes of a piece that are looked up; items too short for it take shorter pieces.
+PIECE = 8
 #: A window is a leak if its edit distance is at most this share of the item's length.
 MOST_EDITS = 0.1
 #: Length of the byte grams that the exact check counts first.
 GRAM = 5
 #: Items and their bytes that one pass over the documents looks for; a larger benchmark takes several passes.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8_000_000
-#: Words that one numpy step handles.
+#: Bytes of text that one numpy step handles; a longer document is one step.
 CHUNK = 1_000_000
 
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
-_rng = np.random.default_rng(77)
-_ODD = _rng.integers(0, 2**63, (KEYS, max(WALKS)), dtype=np.uint64) | np.uint64(1)
-_SAMPLES = {t: [np.sort(_rng.choice(t, SAMPLED, replace=False)) for _ in range(KEYS)] for t in WALKS}
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,27 +32,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_PUNCTUATION).split() if text else []
 
 
-def hashed(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-
-
-def walk_keys(w: np.ndarray, steps: int) -> np.ndarray:
-    """KEYS sampled hashes of the CGK walk that starts at each word of w.
-
-    At each step the walk emits the word under it and moves on by the bit that step and word choose, so two windows that
-    differ by an edit soon walk in step again. The random function is a bit of the word's hash.
-    """
-    n = len(w)
-    at = np.arange(n, dtype=np.int64)
-    keys = np.zeros((KEYS, n), np.uint64)
-    for j in range(steps):
-        here = w[np.minimum(at, n - 1)]
-        for k in range(KEYS):
-            if j in _SAMPLES[steps][k]:
-                keys[k] += here * _ODD[k, j]
-        at += ((here >> np.uint64(11 + 3 * j)) & np.uint64(1)).astype(np.int64)
-    keys ^= keys >> np.uint64(31)
-    return keys * np.uint64(0x9E3779B97F4A7C15)
+def pieces_at(text: bytes) -> np.ndarray:
+    """The PIECE bytes from each place of text on, as a number; zeros follow the text."""
+    padded, out = text + bytes(2 * PIECE), np.empty(len(text), np.uint64)
+    for k in range(PIECE):
+        own = out[k::PIECE]
+        own[:] = np.frombuffer(padded, "<u8", len(own), k)
+    return out
 
 
 def grams(text: bytes) -> list[bytes]:
@@ -65,46 +46,74 @@ def grams(text: bytes) -> list[bytes]:
 
 
 class Items:
-    """A block of benchmark items with the keys of all their windows; small enough to be sent to every task."""
+    """A block of benchmark items with an index of their pieces; small enough to be sent to every task.
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words, self.grams, self.index = [], [], [], {}
+    An item of which ``limit`` edits are allowed is cut into limit + least disjoint pieces, least being as large as pieces
+    of PIECE bytes allow, and 1 at least. An edit spoils one piece at most, so any leak holds ``least`` pieces as they are,
+    and their places differ from those in the item by shifts that are within limit of each other.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], most_edits: float):
+        self.ids, self.patterns, self.grams, self.index = [], [], [], {}
+        limits, least, parts = [], [], {}
         for item_id, text in rows:
             found = words_of(text)
-            if len(found) >= LEAST_WORDS:
-                self.ids.append(item_id)
-                self.words.append(found)
-                self.grams.append(grams(b" ".join(found)))
-        for t, above in zip(WALKS, (None, *WALKS), strict=False):
-            keys, items, offsets = [], [], []
-            for i, found in enumerate(self.words):
-                if len(found) >= t and (above is None or len(found) < above):
-                    starts = len(found) - t + 1
-                    keys.append(walk_keys(hashed(found), t)[:, :starts].T.ravel())
-                    items.append(np.full(starts * KEYS, i, np.int32))
-                    offsets.append(np.repeat(np.arange(starts, dtype=np.int32), KEYS))
-            if keys:
-                key, item, offset = map(np.concatenate, (keys, items, offsets))
-                order = np.argsort(key, kind="stable")
-                bits = min(24, max(16, int(len(key)).bit_length() + 5))
-                seen = np.zeros(1 << bits, np.bool_)
-                seen[key >> np.uint64(64 - bits)] = True
-                self.index[t] = (key[order], item[order], offset[order], seen, np.uint64(64 - bits))
-
-    def candidates(self, w: np.ndarray) -> np.ndarray:
-        """Distinct (window start, item, matched word) rows; starts are where the item's first word should stand, to within
-        four words, and may lie before the document that the matched word stands in."""
-        out = []
-        for t, (key, item, offset, seen, shift) in self.index.items():
-            for own in walk_keys(w, t):
-                at = np.nonzero(seen[own >> shift])[0]
-                lo, hi = np.searchsorted(key, own[at], "left"), np.searchsorted(key, own[at], "right")
-                n = hi - lo
-                if n.any():
-                    which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    word = np.repeat(at, n)
-                    out.append(np.stack([(word - offset[which]) // 4 * 4, item[which], word], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
+            if len(found) < LEAST_WORDS:
+                continue
+            pattern = b" ".join(found)
+            n, limit = len(pattern), math.floor(most_edits * len(pattern))
+            cuts = max(limit + 1, n // PIECE)
+            size = min(PIECE, n // cuts)
+            for k in range(cuts):
+                at = k * n // cuts
+                parts.setdefault(size, []).append((int.from_bytes(pattern[at : at + size], "little"), len(self.ids), at))
+            self.ids.append(item_id)
+            self.patterns.append(pattern)
+            self.grams.append(grams(pattern))
+            limits.append(limit)
+            least.append(cuts - limit)
+        self.limits, self.least = np.array(limits, np.int64), np.array(least, np.int64)
+        self.lengths = np.array([len(p) for p in self.patterns], np.int64)
+        for size, rows in parts.items():
+            key = np.array([r[0] for r in rows], np.uint64)
+            order = np.argsort(key, kind="stable")
+            item, offset = (np.array([r[k] for r in rows], np.int64)[order] for k in (1, 2))
+            bits = min(24, max(16, len(key).bit_length() + 5))
+            seen = np.zeros(1 << bits, np.bool_)
+            seen[(key * _SPREAD) >> np.uint64(64 - bits)] = True
+            self.index[size] = (key[order], item, offset, seen, np.uint64(64 - bits))
+
+    def candidates(self, text: bytes, ends: np.ndarray) -> np.ndarray:
+        """(document, item, start, end) of all windows that may hold an item; ends: where the documents of text end."""
+        whole, out = pieces_at(text), []
+        for size, (key, item, offset, seen, shift) in self.index.items():
+            own = whole if size == PIECE else whole & np.uint64((1 << 8 * size) - 1)
+            at = np.nonzero(seen[(own * _SPREAD) >> shift])[0]
+            lo, hi = np.searchsorted(key, own[at], "left"), np.searchsorted(key, own[at], "right")
+            n = hi - lo
+            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = np.repeat(at, n)
+            doc = np.searchsorted(ends, place, "right")
+            # by item and document, then by shift; an item's shift may be as low as minus its length
+            out.append(((item[which] * len(ends) + doc) << 32) + (place - offset[which] + (1 << 30)))
+        hits = np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
+        if not len(hits):
+            return np.empty((0, 4), np.int64)
+        items = (hits >> 32) // len(ends)
+        last = np.arange(len(hits)) + self.least[items] - 1
+        near = hits[np.minimum(last, len(hits) - 1)] - hits <= self.limits[items]
+        hits, items = hits[near & (last < len(hits))], items[near & (last < len(hits))]
+        if not len(hits):
+            return np.empty((0, 4), np.int64)
+        # windows of one item and document with shifts near each other are checked as one
+        first = np.concatenate([[True], np.diff(hits) > self.limits[items[1:]]])
+        final = np.concatenate([first[1:], [True]])
+        items, docs = items[first], (hits[first] >> 32) % len(ends)
+        low, high = ((hits[x] & 0xFFFFFFFF) - (1 << 30) for x in (first, final))
+        starts = np.concatenate([[0], ends[:-1]])
+        begin = np.maximum(low - self.limits[items], starts[docs])
+        end = np.minimum(high + self.lengths[items] + self.limits[items], ends[docs])
+        return np.stack([docs, items, begin, end], axis=1)
 
 
 def edit_distance_within(pattern: bytes, text: bytes) -> int:
@@ -127,47 +136,33 @@ def edit_distance_within(pattern: bytes, text: bytes) -> int:
     return best
 
 
-def _search(shared, most_edits: float):
+def _search(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: Items = shared.value
         for batch in batches:
             found = []
             ids, texts = batch["doc_id"].to_numpy(), batch["text"]
-            at, stack, ends = 0, [], []
+            at, stack, size = 0, [], 0
             for k, text in enumerate(texts):
-                own = words_of(text)
-                stack += own
-                ends.append(len(stack))
-                if len(stack) >= CHUNK or k == len(ids) - 1:
-                    found += _leaks(items, stack, ids[at : k + 1], np.array(ends), most_edits)
-                    at, stack, ends = k + 1, [], []
+                # words hold no line feed, so no piece reaches over the end of a document
+                stack.append(b" ".join(words_of(text)) + b"\n")
+                size += len(stack[-1])
+                if size >= CHUNK or k == len(ids) - 1:
+                    found += _leaks(items, stack, ids[at : k + 1])
+                    at, stack, size = k + 1, [], 0
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance"]).astype("int64")
 
     return run
 
 
-def _leaks(items: Items, found: list[bytes], ids: np.ndarray, ends: np.ndarray, most_edits: float) -> list[tuple[int, int, int]]:
-    """(id, item, distance) for every document of a run that stands one after the other in found."""
+def _leaks(items: Items, found: list[bytes], ids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(id, item, distance) for every document of found."""
     best: dict[tuple[int, int], int] = {}
-    if not found or not items.ids:
-        return []
-    pairs = items.candidates(hashed(found))
-    if not len(pairs):
-        return []
-    starts = np.concatenate([[0], ends[:-1]])
-    # the matched word tells the document: an item that lost its first words starts before it
-    docs = np.searchsorted(ends, pairs[:, 2], "right")
-    windows = np.unique(np.stack([pairs[:, 0], pairs[:, 1], docs], axis=1), axis=0)
-    for start, item, doc in windows.tolist():
+    run, ends = b"".join(found), np.cumsum([len(x) for x in found])
+    for doc, item, a, b in items.candidates(run, ends).tolist():
         if best.get((doc, item)) == 0:
             continue
-        wanted = items.words[item]
-        slack = len(wanted) // 8 + 6
-        a, b = max(start - slack, int(starts[doc])), min(start + len(wanted) + slack, int(ends[doc]))
-        pattern, text = b" ".join(wanted), b" ".join(found[a:b])
-        limit = math.floor(most_edits * len(pattern))
-        if len(text) < len(pattern) - limit:
-            continue
+        pattern, text, limit = items.patterns[item], run[a:b], int(items.limits[item])
         if pattern in text:
             distance = 0
         else:
@@ -185,9 +180,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
     """``doc_id``, ``item_id`` and ``distance`` for every document that holds a benchmark item, edited or not.
 
     Both are lower-cased, ASCII punctuation counts as space, and words are joined by one space; a leak is a part of the
-    document within ``most_edits`` times the item's length in edit operations on UTF-8 bytes. Every word of every
-    document starts a window. Walks of 8 or 10 steps stay inside the shortest item they serve, and the walks from all words
-    of an item are indexed, so a window is found through any stretch of the item without an edit.
+    document within ``most_edits`` times the item's length in edit operations on UTF-8 bytes. Every leak is found, with its
+    least distance: of an item cut into more pieces than the edits allowed, some stand unedited in every leak (see Items).
 
     Candidate search and check run in one narrow pass: documents are not shuffled. The items are sent to the tasks in blocks
     of at most BLOCK_ITEMS items and BLOCK_BYTES bytes; each further block is a further pass.
@@ -204,8 +198,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
     out = spark.createDataFrame([], "doc_id long, item_id long, distance long")
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.distinct().collect()]))
-        out = out.union(plain.mapInPandas(_search(shared, most_edits), "doc_id long, item_id long, distance long"))
+        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.distinct().collect()], most_edits))
+        out = out.union(plain.mapInPandas(_search(shared), "doc_id long, item_id long, distance long"))
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 

@@ -189,6 +189,22 @@ def test_leaks_without_their_first_words_at_the_start_of_later_documents(spark):
     assert got == set(leaks_brute(docs, items)) and len(got) == 20
 
 
+def test_leaks_with_edits_up_to_the_limit(spark):
+    """Items of 8 words and more with edits of single bytes anywhere, as many as are allowed: all are found, by their distance."""
+    rng = random.Random(6)
+    plain = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 8))) for _ in range(n)]
+    items = [(k, " ".join(plain(8 + k % 24))) for k in range(60)]
+    docs = []
+    for i in range(240):
+        text, at = list(items[i % 60][1]), plain(rng.randrange(30))
+        for _ in range(int(decontam.MOST_EDITS * len(text))):
+            k = rng.randrange(len(text))
+            text[k : k + 1] = rng.choice(([], ["x"], [text[k], "y"]))
+        docs.append((i, " ".join([*at, "".join(text), *plain(rng.randrange(30))])))
+    got = {tuple(r)[:2]: r[2] for r in decontam.find_leaks(spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == leaks_brute(docs, items) and len(got) >= 230
+
+
 def paragraphs_brute(rows, least=paragraphs.LEAST_WORDS):
     places = sorted({(i, k, line) for i, text in rows for k, line in enumerate((text or "").split("\n")) if len(line.split()) >= least}, key=lambda p: (p[0], p[1]))
     label = near_brute([(n, p[2]) for n, p in enumerate(places)])
