@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import chat, decontam, lines, minhash, mixing, paragraphs, quality, suffix, tokens, urls
-from skirmish.llm.common import scratch, table, words
+from skirmish.llm import chat, decontam, lines, minhash, mixing, paragraphs, passages, quality, suffix, tokens, urls
+from skirmish.llm.common import scratch, stored, table, words
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +213,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without near copies of earlier paragraphs."""
-    kept = paragraphs.drop_repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_paragraphs", F.size("gone").cast("long").alias("n_removed"), "gone", F.sha2("text", 256).alias("kept_sha256"))
+    """What is left of every document without near copies of earlier paragraphs, and then of earlier passages."""
+    kept = stored(paragraphs.drop_repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    kept = passages.drop_repeated_passages(kept)
+    return kept.select("doc_id", "n_paragraphs", F.size("gone").cast("long").alias("n_removed"), "gone", "n_cut_words", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def word_tokenizer() -> str:

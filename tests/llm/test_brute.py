@@ -241,6 +241,25 @@ def test_paragraphs_of_null_ids(spark):
     assert got == {None: [], 1: [0]}
 
 
+def test_passages_within_longer_lines_and_over_short_ones(spark, tmp_path):
+    """60 shared words inside lines that are otherwise different, or laid out in lines of 10, stay once."""
+    rng = random.Random(9)
+    passage, rows = words(rng, 60, 10**6), []
+    for i in range(12):
+        own = passage[:30] + ["edit"] + passage[31:] if i % 4 == 3 else passage
+        shared = "\n".join(" ".join(own[k : k + 10]) for k in range(0, 60, 10)) if i % 2 else " ".join(own).upper()
+        rows.append((i, " ".join(words(rng, 70, 10**6)) + " " + shared + " " + " ".join(words(rng, 90, 10**6))))
+    clean = [(20, " ".join(words(rng, 300, 10**6))), (21, None), (None, "short"), (22, " ".join(words(rng, 50, 10**6) + passage[:30] + words(rng, 50, 10**6)))]
+    spark.createDataFrame(rows + clean, TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_paragraph_dedup(spark, str(tmp_path)).collect()}
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert all(got[i]["kept_sha256"] == digest(t) for i, t in [rows[0], *clean])
+    for i, t in rows[1:]:
+        assert got[i]["n_cut_words"] == 60
+        places = [m.span() for m in re.finditer(r"\S+", t)]
+        assert got[i]["kept_sha256"] == digest(t[: places[70][0]] + t[places[129][1] :])
+
+
 def token_rows(rows, tokenizer):
     from tokenizers import Tokenizer
 
