@@ -106,31 +106,46 @@ URL_RULES = [
     ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 ]
-#: The listed sites, each with all its pages.
-URL_SITES = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track"]
+#: The listed sites, each with all its pages, and the site of which single pages are listed.
+URL_SITES, URL_PAGES = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track"], "tionsh"
+URL_TOPS = ["com", "net", "org"]
+#: How many pages of that site are listed under each top level: its French ones, by number.
+URL_NUMBERS = 50_000
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The production list: 15 sites, and 150,000 single pages."""
+    sites = F.array(*[F.lit(f"http://{site}.example.{top}/") for site in URL_SITES for top in URL_TOPS])
+    tops = F.explode(F.array(*map(F.lit, URL_TOPS)))
+    pages = spark.range(URL_NUMBERS).select(tops.alias("top"), F.col("id").cast("string").alias("n"))
+    return spark.range(1).select(F.explode(sites).alias("url")).union(pages.select(F.concat(F.lit(f"http://www.{URL_PAGES}.example."), "top", F.lit("/fr/"), "n")))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules' and the listed sites' verdict on every page."""
-    listed = URL_RULES + [(f"{site}.example.{top}", "/", "block") for site in URL_SITES for top in ("com", "net", "org")]
-    entries = F.array(*[F.struct(*[F.lit(x).alias(a) for a, x in zip(("host", "path", "verdict"), e, strict=True)]) for e in listed])
-    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), spark.range(1).select(F.inline(entries)))
-    # a listed site isn't one of the rules, so its entry is not shown as one
-    rules = [host + path for host, path, _ in URL_RULES]
-    return judged.select("page_id", "host", "path", F.when(F.col("rule").isin(rules), F.col("rule")).alias("rule"), "verdict")
+    """The rules' verdict on every page, and the list's where no rule fits."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed_urls(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.col("listed").isNotNull().alias("is_listed"))
 
 
 OP3_SQL = f"""
 WITH u AS (
-  SELECT page_id, row_number() OVER () AS rid, CASE WHEN contains(url, '://') THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '?', 1), '#', 1) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, rid, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM u),
-r AS (
-  SELECT unnest([{", ".join(f"{{'h': '{h}', 'p': '{p}', 'v': '{v}', 'own': true}}" for h, p, v in URL_RULES)},
-    {", ".join(f"{{'h': '{s}.example.{t}', 'p': '/', 'v': 'block', 'own': false}}" for s in URL_SITES for t in ("com", "net", "org"))}], recursive := true)),
-b AS (
-  SELECT page_id, rid, host, path, h || p AS rule, v, own, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC, v DESC) AS k
-  FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, CASE WHEN own THEN rule END AS rule, coalesce(v, 'allow') AS verdict FROM b WHERE k = 1
+  SELECT page_id, row_number() OVER () AS rid, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, rid, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^#?]*[?]([^#]*)', 1) AS query FROM u),
+rules AS (SELECT unnest([{", ".join(f"{{'h': '{h}', 'p': '{p}', 'v': '{v}'}}" for h, p, v in URL_RULES)}], recursive := true)),
+ruled AS (
+  SELECT rid, h || p AS rule, v FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h) + length(p) DESC) = 1),
+sites AS (SELECT s || '.example.' || t AS site FROM (SELECT unnest({URL_SITES}) AS s), (SELECT unnest({URL_TOPS}) AS t)),
+c AS (
+  SELECT rid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)$', ''), '[.]+$', ''), '^www[.]', '') AS site, rtrim(path, '/') AS page,
+         list_filter(string_split(coalesce(query, ''), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('ref', 'fbclid', 'gclid')) AS args FROM p),
+method AS (
+  SELECT rid, EXISTS (SELECT 1 FROM sites WHERE c.site = sites.site OR ends_with(c.site, '.' || sites.site))
+    OR (site IN ({", ".join(f"'{URL_PAGES}.example.{t}'" for t in URL_TOPS)}) AND len(args) = 0 AND regexp_full_match(page, '/fr/(0|[1-9][0-9]{{0,4}})') AND try_cast(substr(page, 5) AS INT) < {URL_NUMBERS}) AS is_listed FROM c)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN is_listed THEN 'block' ELSE 'allow' END) AS verdict, is_listed
+FROM p LEFT JOIN ruled USING (rid) JOIN method USING (rid)
 """
 
 

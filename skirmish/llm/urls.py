@@ -1,4 +1,4 @@
-"""URL filters: a blocked Bloom filter over listed canonical URLs, then an exact hash join, all in built-in expressions."""
+"""URL filters: a few rules by longest match, then a blocked Bloom filter over listed canonical URLs and an exact hash join."""
 
 from __future__ import annotations
 
@@ -7,15 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skirmish.llm.common import stored
+
 #: A filter block: eight 64-bit words, one bit of each set per key.
 LANES = 8
 #: Keys per block for a false-positive rate near 1 in 1,000.
 KEYS_PER_BLOCK = 32
-#: Pages of one key go to this many tasks in the exact join if the list is too large to broadcast.
+#: Largest filter, in blocks of 72 bytes, that is broadcast: some 10 MB, a list of 4 million entries.
+BROADCAST_BLOCKS = 131_072
+#: A larger filter is joined by a shuffle, and the keys of one block are dealt to this many tasks.
 SALTS = 32
-#: Largest list, in entries of about 100 bytes, that the joins may broadcast: some 10 MB.
+#: Listed entries, of about 100 bytes, that occur in the pages and are broadcast for the exact join: some 10 MB.
 BROADCAST_ENTRIES = 100_000
 
+#: Query parameters that don't tell pages apart: the name, as a regular expression.
+TRACKING = "utm_[^=]*|ref|fbclid|gclid"
+
 
 def split_url(url: Column) -> dict[str, Column]:
     """``host``: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. ``path``: from there up to
@@ -28,13 +35,43 @@ def split_url(url: Column) -> dict[str, Column]:
     return {"host": F.translate(host, upper, upper.lower()), "path": F.substr(rest, F.length(host) + 1)}
 
 
-def candidate_keys(lengths: Sequence[int]) -> Column:
-    """Every host suffix at a label boundary, combined with the path's prefixes of the listed lengths."""
-    labels = F.split("host", "\\.")
+def site_of(host: Column) -> Column:
+    """A host without user, default port, final dots and a leading www."""
+    for pattern in (r"^.*@", r":(80|443)$", r"\.+$", r"^www\."):
+        host = F.regexp_replace(host, pattern, "")
+    return host
+
+
+def canonical(url: Column) -> Column:
+    """One spelling of a URL: the site, the path without final slashes (``/`` if nothing is left), and the query's
+    parameters, sorted, without the TRACKING ones. Scheme and fragment are dropped. Null without a site."""
+    parts = split_url(url)
+    site, path = site_of(parts["host"]), F.regexp_replace(parts["path"], "/+$", "")
+    before = F.substring_index(url, "#", 1)
+    query = F.when(F.locate("?", before) > 0, F.substr(before, F.locate("?", before) + 1)).otherwise(F.lit(""))
+    told = F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(f"^({TRACKING})(=|$)"))
+    args = F.when(F.size(told) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(told), "&"))).otherwise(F.lit(""))
+    return F.when(site != "", F.concat(site, F.when(path == "", F.lit("/")).otherwise(path), args))
+
+
+def ruling(rules: Sequence[tuple[str, str, str]], host: Column, path: Column) -> Column:
+    """(rule, verdict) of the longest rule that fits, else null: a chain of conditions, longest rule first.
+
+    rules: (host, path, verdict). A rule fits its host and all subdomains where the path starts with the rule's.
+    Among rules of one length the longer host is first, then block.
+    """
+    order = sorted(set(rules), key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r[2] != "block", r))
+    fits = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in order]
+    return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
+
+
+def keys_of(url: Column) -> Column:
+    """What a page may be listed as: its canonical URL, or the root of its site or of a domain above."""
+    one = canonical(url)
+    labels = F.split(F.substring_index(one, "/", 1), r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths]), lambda p: p.isNotNull())
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    roots = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(labels, i, n), "."), F.lit("/")))
+    return F.when(one.isNotNull(), F.array_distinct(F.concat(F.array(one), roots)))
 
 
 def lane_bit(key_hash: Column, lane: int) -> Column:
@@ -43,55 +80,60 @@ def lane_bit(key_hash: Column, lane: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position)
 
 
+def block_of(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(blocks)).alias("block")
+
+
 def bloom(listed: DataFrame, blocks: int) -> DataFrame:
-    """The filter as a table: block number and its eight words."""
+    """The filter of the keys as a table: block number and its eight words."""
     h = F.xxhash64("key")
-    keyed = listed.select(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)).alias("block"), *[lane_bit(h, k).alias(f"b{k}") for k in range(LANES)])
+    keyed = listed.select(block_of("key", blocks), *[lane_bit(h, k).alias(f"b{k}") for k in range(LANES)])
     return keyed.groupBy("block").agg(*[F.bit_or(f"b{k}").alias(f"b{k}") for k in range(LANES)])
 
 
-def judge(pages: DataFrame, listed: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """Every page with ``host``, ``path``, ``rule`` (the entry that decided, else null) and ``verdict``.
-
-    listed: ``host``, ``path``, ``verdict`` (allow or block). An entry fits its host and all subdomains where the URL's
-    path starts with the entry's; the longest (host and path together) wins, then the longer host, then block. Without
-    a fitting entry the verdict is allow. Repeated entries count once.
-
-    Each page makes its few lookup keys (host suffixes with path prefixes of the lengths that occur in the list); the
-    blocked Bloom filter drops nearly all that are not listed before any shuffle, and an exact hash join with the list
-    drops the rest. The list is broadcast up to BROADCAST_ENTRIES; beyond, it is shuffled, with the pages of a key salted.
+def listed_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """``page_id``, ``url`` and ``listed`` (the longest entry) of the pages that are listed.
 
-    A null URL, or one without ``://``, has an empty host and path, and is allowed. Repeated rows get equal verdicts,
-    and a repeated id with another URL its own. Columns of pages named like the four new ones are replaced. No entries:
-    all pages are allowed. An empty table gives an empty table.
+    pages: page_id, url. listed: ``url``; an entry without a path (``http://a.org`` or ``http://a.org/``) stands for all
+    pages of its site and of the domains below, any other for the pages of its canonical URL. A page's few keys go
+    through the filter before any shuffle; what may be listed is held against the list by an exact hash join on the
+    distinct keys, so a key of very many pages is one row in it.
     """
-    key = F.concat(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit("")))
-    host_length = F.length(F.coalesce("host", F.lit("")))
-    rank = F.struct(F.length("key").alias("n"), host_length.alias("h"), (F.col("verdict") == "block").alias("b"))
-    best = listed.withColumn("key", key).withColumn("rank", rank).groupBy("key").agg(F.max("rank").alias("rank"))
-    best = best.select("key", "rank", F.when(F.col("rank.b"), "block").otherwise("allow").alias("verdict"))
-    shape = listed.agg(F.count("*").alias("n"), F.collect_set(F.length(F.coalesce("path", F.lit("")))).alias("lengths")).first()
-    small = shape["n"] <= BROADCAST_ENTRIES
-    blocks = max(1, shape["n"] // KEYS_PER_BLOCK + 1)
-    parted = pages.withColumns(split_url(F.col(url)))
-    if not shape["n"]:
-        return parted.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    slim = parted.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), "host", "path").where(F.col("host") != "")
-    keys = slim.select("page_id", "url", F.explode(candidate_keys(sorted(shape["lengths"]))).alias("key"))
-    h = F.xxhash64("key")
-    hit = F.lit(True)
+    entries = stored(listed.select(canonical(F.col("url")).alias("key")).where("key IS NOT NULL").distinct())
+    blocks = entries.count() // KEYS_PER_BLOCK + 1
+    keys = pages.where("url IS NOT NULL").select("page_id", "url", F.explode(keys_of(F.col("url"))).alias("key"))
+    keys = keys.select("page_id", "url", "key", block_of("key", blocks))
+    h, hit = F.xxhash64("key"), F.lit(True)
     for k in range(LANES):
         hit = hit & (F.col(f"b{k}").bitwiseAND(lane_bit(h, k)) != 0)
-    keys = keys.withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)))
-    sift = bloom(best, blocks)
-    if small:
-        found = keys.join(F.broadcast(sift), "block").where(hit).select("page_id", "url", "key").join(F.broadcast(best), "key")
+    sift = bloom(entries, blocks)
+    if blocks <= BROADCAST_BLOCKS:
+        near = keys.join(F.broadcast(sift), "block")
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         salted = keys.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
-        near = salted.join(sift.select("*", salts), ["block", "salt"]).where(hit)
-        found = near.select("page_id", "url", "key", "salt").join(best.select("*", salts), ["key", "salt"])
-    decided = found.groupBy("page_id", "url").agg(F.max_by(F.struct(F.col("key").alias("rule"), "verdict"), "rank").alias("_hit"))
-    decided = decided.select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), "_hit")
-    df = parted.join(decided, F.col(page_id).eqNullSafe(F.col("_page")) & (F.col(url) == F.col("_url")), "left")
-    return df.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit("allow"))}).drop("_page", "_url", "_hit")
+        near = salted.join(sift.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["block", "salt"])
+    near = stored(near.where(hit).select("page_id", "url", "key"))
+    true = stored(entries.join(near.select("key").distinct(), "key", "left_semi"))
+    true = F.broadcast(true) if true.count() <= BROADCAST_ENTRIES else true
+    return near.join(true, "key").groupBy("page_id", "url").agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("listed"))
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """Every page with ``host``, ``path``, ``rule`` (the one that fits, else null), ``listed`` and ``verdict``.
+
+    The longest fitting rule (see ruling()) decides; where none fits, a page that listed_pages() finds is blocked and any
+    other allowed. ``listed`` is the entry of the list, as host and path, also where a rule has decided.
+
+    A null URL, or one without ``://``, has an empty host and path, and is allowed. Repeated rows get equal verdicts,
+    and a repeated id with another URL its own. A null id is an id. Columns of pages named like the five new ones are
+    replaced. Null entries, and those without a site, list nothing; no rules and no entries: all pages are allowed. An
+    empty table gives an empty table. A URL may be of any length.
+    """
+    found = listed_pages(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), listed)
+    found = found.select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), F.col("listed").alias("_listed"))
+    df = pages.withColumns(split_url(F.col(url)))
+    df = df.join(found, F.col(page_id).eqNullSafe(F.col("_page")) & (F.col(url) == F.col("_url")), "left")
+    df = df.withColumn("_rule", ruling(rules, F.col("host"), F.col("path")))
+    method = F.when(F.col("_listed").isNotNull(), "block").otherwise("allow")
+    df = df.withColumns({"rule": F.col("_rule.rule"), "listed": F.col("_listed"), "verdict": F.coalesce("_rule.verdict", method)})
+    return df.drop("_page", "_url", "_listed", "_rule")

@@ -84,21 +84,36 @@ def test_mixture_takes_whole_epochs_and_the_shortest_prefix(spark):
 
 def test_urls(spark, same_as_sql, tmp_path):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://Sub.Example.COM/en/77?q#f"), (6, "x://com/en/"), (7, "x://xcom/en/"), (8, "ftp://a.net/de/x"), (8, "ftp://a.example.net/de/8"),
-            (9, "a://org?x=/es/"), (10, "a://b.casino-win.example.org/p"), (10, "a://b.casino-win.example.org/p"), (None, "a://de.org/es/"), (11, "a://" + "a." * 300 + "com/en/" + "y" * 5000)]
+            (9, "a://org?x=/es/"), (10, "a://b.casino-win.example.org/p"), (10, "a://b.casino-win.example.org/p"), (None, "a://de.org/es/"), (11, "a://" + "a." * 300 + "com/en/" + "y" * 5000),
+            # a rule fits a page of a listed site: the rule decides
+            (12, "http://m.free-bets.example.com/en/7674/"), (13, "http://free-bets.example.com/en/1"), (14, "http://free-bets.example.net/de/9"), (15, "http://free-bets.example.com/fr/9"),
+            # spellings of listed and of other pages
+            (16, "HTTPS://www.Tionsh.example.org:443/fr/12//?utm_source=feed&ref=x#top"), (17, "http://tionsh.example.com/fr/12?page=2"), (18, "http://m.tionsh.example.com/fr/12"), (19, "http://u@tionsh.example.com./fr/49999"),
+            (20, "http://tionsh.example.com/fr/50000"), (21, "http://tionsh.example.com/fr/012"), (22, "http://tionsh.example.com/fr/7?reference=1"), (23, "http://:80/fr/1"), (24, "http://tionsh.example.com")]
     spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("x")).write.parquet(f"{tmp_path}/pages.parquet")
     pages = pd.DataFrame({"page_id": pd.array([r[0] for r in rows], "Int64"), "url": [r[1] for r in rows]})
-    same_as_sql(queries.op3_url_filters(spark, str(tmp_path)), queries.ORACLES["op3_url_filters"], pages=pages)
+    judged = queries.op3_url_filters(spark, str(tmp_path))
+    same_as_sql(judged, queries.ORACLES["op3_url_filters"], pages=pages)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judged.collect()}
+    assert got[12] == ("example.com/en/7", "allow") and got[13] == ("com/en/", "block") and got[14] == ("net/de/", "allow") and got[15] == (None, "block")
+    assert {i for i in range(16, 25) if got[i][1] == "block"} == {16, 19}
 
 
-@pytest.mark.parametrize("most", [0, 10_000])
-def test_large_lists_give_the_same_verdicts(spark, monkeypatch, most):
-    monkeypatch.setattr(urls, "BROADCAST_ENTRIES", most)
+def test_no_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op3_url_filters(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("blocks", "entries"), [(131_072, 100_000), (0, 0)])
+def test_large_lists_give_the_same_verdicts(spark, monkeypatch, blocks, entries):
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", blocks)
+    monkeypatch.setattr(urls, "BROADCAST_ENTRIES", entries)
     pages = spark.createDataFrame([(i, f"https://h{i % 50}.org/p{i}", "x") for i in range(500)], "page_id long, url string, host string")
-    listed = spark.createDataFrame([(f"h{i}.org", "/", "block") for i in range(0, 200, 2)] + [("h4.org", "/p4", "allow")], "host string, path string, verdict string")
-    judged = urls.judge(pages, listed)
+    listed = spark.createDataFrame([(f"http://h{i}.org",) for i in range(0, 200, 2)] + [("x://h5.org/p5/",), ("x://h5.org/p99",), (None,), ("nowhere",)], "url string")
+    judged = urls.judge(pages, [("h4.org", "/p4", "allow")], listed)
     blocked = {r["page_id"] for r in judged.where("verdict = 'block'").collect()}
-    assert judged.count() == 500 and blocked == {i for i in range(500) if i % 50 % 2 == 0 and not (i % 50 == 4 and f"p{i}".startswith("p4"))}
-    assert urls.judge(pages, listed.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == 500
+    assert judged.count() == 500 and blocked == {i for i in range(500) if (i % 50 % 2 == 0 or i == 5) and not (i % 50 == 4 and f"p{i}".startswith("p4"))}
+    assert urls.judge(pages, [], listed.limit(0)).where("verdict = 'allow' AND rule IS NULL AND listed IS NULL").count() == 500
 
 
 def test_chats_come_back_whole(spark):
