@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``k``, ``v`` and ``text`` (null as empty), and the columns of also: k and v name a document.
+
+    k is the id; a null id becomes a number from a hash of the text, below -2^62. v is another hash, which
+    tells apart the texts of rows that share an id. Rows of one id and text are one document.
+    """
+    body, own = F.coalesce(F.col(text), F.lit("")), F.col(doc_id).cast("long")
+    stand_in = F.shiftrightunsigned(F.xxhash64(body, F.lit(1)), 2).bitwiseOR(F.lit(-(2**63)))
+    return docs.select(own.alias("doc_id"), F.coalesce(own, stand_in).alias("k"), F.xxhash64(body, own.isNull()).alias("v"), body.alias("text"), *also)
+
+
 #: Ids that restricted() may send to every task: at 16 to 24 bytes each some 10 MB.
 BROADCAST_IDS = 400_000
 

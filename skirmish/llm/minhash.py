@@ -8,18 +8,22 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skirmish.llm.common import discard, restricted, stored
 from skirmish.llm.components import components
+from skirmish.llm.texts import hashed_words
 
 #: Standard deviations that a sketch may be off before a true link is lost.
 DEVIATIONS = 6.5
-#: Members of a bucket are compared in blocks of so many strays against so many members.
-STRAYS, MEMBERS = 128, 512
+#: Sets of a bucket that meet in one cell, at most on average, and shingles of those that meet with their full sets.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Pairs of sets that one numpy step compares.
+STEP = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,189 +68,358 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct word shingles, A-Z lower-cased; fewer words make one shingle."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    size = min(size, len(w))
-    h = w[: len(w) - size + 1].copy()
+def shingle_sets(w: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct word shingles, one text after the other, and where each ends.
+
+    w: the hashes of the texts' words, n: how many each has. A text of fewer words than size makes one shingle, one
+    without words none.
+    """
+    starts, count = np.cumsum(n) - n, np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    ends = np.cumsum(count)
+    h = w.copy()
     for k in range(1, size):
-        h = h * _STEP + w[k : len(w) - size + 1 + k]
-    return np.unique(_mix(h + np.uint64(size)))
+        h[: len(w) - k] = h[: len(w) - k] * _STEP + w[k:]
+    h = _mix(h[np.repeat(starts - (ends - count), count) + np.arange(int(count.sum()))] + np.uint64(size))
+    for short in np.flatnonzero((n > 0) & (n < size)).tolist():
+        one = w[starts[short] : starts[short] + 1]
+        for k in range(1, n[short]):
+            one = one * _STEP + w[starts[short] + k]
+        h[ends[short] - 1] = _mix(one + np.uint64(n[short]))[0]
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), np.bool_)
+    new[1:] = h[1:] != h[:-1]
+    new[(ends - count)[count > 0]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[ends]
+
+
+def samples(hashes: np.ndarray, ends: np.ndarray, plan: Plan) -> np.ndarray:
+    """The MinHash samples of each set, which must not be empty."""
+    multiply, add, *_ = _random(plan)
+    starts = np.concatenate([[0], ends[:-1]])
+    h, out = (hashes >> np.uint64(32)).astype(np.uint32), np.empty((len(ends), plan.samples), np.uint32)
+    for k in range(plan.samples):
+        out[:, k] = np.minimum.reduceat(h * multiply[k] + add[k], starts)
+    return out.astype(np.uint64)
+
 
+def band_keys(least: np.ndarray, plan: Plan) -> np.ndarray:
+    _, _, multiply, add, _ = _random(plan)
+    return _mix((least.reshape(-1, plan.bands, plan.rows) * multiply).sum(axis=2, dtype=np.uint64) + add).view(np.int64)
 
-def _parity(places: np.ndarray, bits: int) -> np.ndarray:
-    return np.packbits((np.bincount((places % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
+def _parity(owner: np.ndarray, places: np.ndarray, sets: int, bits: int) -> np.ndarray:
+    flips = np.bincount(owner * bits + (places % np.uint64(bits)).astype(np.int64), minlength=sets * bits)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(sets, bits), axis=1).view(np.int64)
 
-def signature(hashes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys and two odd sketches, of the MinHash samples and of all hashes.
+
+def odd_sketches(hashes: np.ndarray, ends: np.ndarray, least: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Two odd sketches of each set, of its MinHash samples and of all its hashes.
 
     A member flips one bit, so that what two sets share cancels in the XOR of their sketches.
     """
-    multiply, add, band_multiply, band_add, bit_multiply = _random(plan)
-    h = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(plan.samples, 2**32 - 1, np.uint32)
-    for at in range(0, len(h), 256):
-        np.minimum(least, (h[at : at + 256, None] * multiply + add).min(axis=0), out=least)
-    least = least.astype(np.uint64)
-    keys = _mix((least.reshape(plan.bands, plan.rows) * band_multiply).sum(axis=1, dtype=np.uint64) + band_add)
-    samples = _parity(_mix((least + np.arange(plan.samples, dtype=np.uint64)) * bit_multiply), plan.sample_bits)
-    return keys.view(np.int64), samples, _parity(hashes >> np.uint64(17), plan.whole_bits)
+    *_, multiply = _random(plan)
+    sets = len(ends)
+    places = _mix((least + np.arange(plan.samples, dtype=np.uint64)) * multiply)
+    sample = _parity(np.repeat(np.arange(sets), plan.samples), places.ravel(), sets, plan.sample_bits)
+    return sample, _parity(np.repeat(np.arange(sets), np.diff(ends, prepend=0)), hashes >> np.uint64(17), sets, plan.whole_bits)
+
+
+def fingerprints(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two columns."""
+    held, found = memoryview(hashes.tobytes()), []
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        found.append(xxhash.xxh3_128_digest(held[8 * a : 8 * b]))
+    return np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    found = xxhash.xxh3_128_intdigest(hashes.tobytes())
-    return (found >> 64) - 2**63, (found & (2**64 - 1)) - 2**63
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an Arrow column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
-SIGNED = "n_shingles long, hi long, lo long, keys array<long>, sample array<long>, whole array<long>"
+SIGNED = "n_shingles long, hi long, lo long, keys array<long>"
 
 
-def signed(text: str | None, size: int, plan: Plan) -> tuple:
-    """The columns of SIGNED for a text."""
-    hashes = shingles(text, size)
-    return (len(hashes), *fingerprint(hashes), *(signature(hashes, plan) if len(hashes) else (None, None, None)))
+def signed(texts: pa.Array, size: int, plan: Plan) -> Iterator[tuple[slice, list[pa.Array]]]:
+    """The columns of SIGNED for runs of texts, as slices. A text without words has no keys: null."""
+    for own, w, n in hashed_words(texts):
+        hashes, ends = shingle_sets(w, n, size)
+        count = np.diff(ends, prepend=0)
+        some = count > 0
+        keys = band_keys(samples(hashes, ends[some], plan), plan) if some.any() else np.empty((0, plan.bands), np.int64)
+        prints = fingerprints(hashes, ends)
+        offsets = np.concatenate([[0], np.cumsum(some) * plan.bands]).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(~some))
+        yield own, [pa.array(count), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), found]
 
 
-def _differ(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+SET = "id long, n_shingles long, sample array<long>, whole array<long>, members array<long>"
 
 
-def _whole_limit(n, percent: int, bits: int, exp, sqrt):
+def _sets(size: int, plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, w, n in hashed_words(batch.column("text")):
+                hashes, ends = shingle_sets(w, n, size)
+                sample, whole = odd_sketches(hashes, ends, samples(hashes, ends, plan), plan)
+                members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(hashes.view(np.int64)))
+                columns = [batch.column("id")[own.start : own.stop], pa.array(np.diff(ends, prepend=0)), lists(sample), lists(whole), members]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "sample", "whole", "members"])
+
+    return run
+
+
+def _whole_limit(n, percent: int, bits: int, deviations: float = DEVIATIONS):
     """The most bits in which the whole sketches of two sets of n shingles together, alike to percent, should differ."""
     most = n * (100 - percent) / (100 + percent)
-    left = exp(-4 * most / bits)
+    left = np.exp(-4 * most / bits)
     # the variance of the count; the addend covers that it is an approximation
-    return bits / 2 * (1 - exp(-2 * most / bits)) + DEVIATIONS * sqrt(bits / 4 * (1 - left) - most * left + 1)
+    return bits / 2 * (1 - np.exp(-2 * most / bits)) + deviations * np.sqrt(np.maximum(bits / 4 * (1 - left) - most * left, 0) + 1)
+
+
+class Cells:
+    """Whole cells of a stream of rows that is sorted by cell: the rows' arrays, and where the cells begin."""
+
+    def __init__(self, rows: pa.Table, by: list[str]):
+        self.rows = rows.combine_chunks()
+        keys = [self.numbers(c) for c in by]
+        new = np.ones(rows.num_rows, np.bool_)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(self.starts, append=rows.num_rows)
+
+    def numbers(self, name: str) -> np.ndarray:
+        return self.rows.column(name).to_numpy()
+
+    def matrix(self, name: str) -> np.ndarray:
+        return self.rows.column(name).combine_chunks().flatten().to_numpy().reshape(self.rows.num_rows, -1)
+
+    @staticmethod
+    def of(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 20_000) -> Iterator[Cells]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= least:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                cut = int(Cells(rows, by).starts[-1])  # the last cell may go on
+                if cut:
+                    yield Cells(rows.slice(0, cut), by)
+                held = rows.slice(cut).to_batches()
+        if sum(b.num_rows for b in held):
+            yield Cells(pa.Table.from_batches(held), by)
+
+    def near(self, percent: int, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For cells of one size at a time, by their rows (cell, place): which pairs (place, earlier place) are near by
+        their sketches, and which of them most likely have the similarity."""
+        n, sample, whole = self.numbers("n_shingles"), self.matrix("sample"), self.matrix("whole")
+
+        def differ(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            own, out = x.view(np.uint64)[rows], np.zeros((*rows.shape, rows.shape[1]), np.int32)
+            for k in range(x.shape[1]):
+                out += np.bitwise_count(own[:, :, None, k] ^ own[:, None, :, k])
+            return out
+
+        for size in np.unique(self.sizes[self.sizes > 1]).tolist():
+            cells = self.starts[self.sizes == size]
+            step = max(1, STEP // size**2)
+            for k in range(0, len(cells), step):
+                rows = cells[k : k + step, None] + np.arange(size)
+                m = n[rows]
+                near = np.tri(size, size, -1, np.bool_) & (100 * np.minimum(m[:, :, None], m[:, None, :]) >= percent * np.maximum(m[:, :, None], m[:, None, :]))
+                near &= differ(sample, rows) <= plan.sample_limit(percent / 100)
+                if near.any():
+                    bits, both = differ(whole, rows), m[:, :, None] + m[:, None, :]
+                    near &= bits <= _whole_limit(both, percent, plan.whole_bits)
+                    yield rows, near, near & (bits <= _whole_limit(both, percent, plan.whole_bits, 0.0))
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def _forest(percent: int, plan: Plan):
+    """Of each set its first likely, or else its last near, partner among the earlier ones of its cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in Cells.of(batches, ["key", "cell"]):
+            ids, a, b = cells.numbers("id"), [], []
+            for rows, near, likely in cells.near(percent, plan):
+                size = rows.shape[1]
+                to = np.where(likely.any(axis=2), likely.argmax(axis=2), size - 1 - near[:, :, ::-1].argmax(axis=2))
+                i, j = np.nonzero(near.any(axis=2))
+                a.append(ids[rows[i, j]])
+                b.append(ids[rows[i, to[i, j]]])
+            yield _pairs(a, b)
+
+    return run
 
 
-def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int, plan: Plan) -> DataFrame:
-    side = lambda a: nodes.select(F.col("id").alias(a), *[F.col(c).alias(f"{a}_{c}") for c in ("n_shingles", "sample", "whole")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = 100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles")
-    near = _differ(F.col("a_sample"), F.col("b_sample")) <= plan.sample_limit(percent / 100)
-    whole = _differ(F.col("a_whole"), F.col("b_whole")) <= _whole_limit(F.col("a_n_shingles") + F.col("b_n_shingles"), percent, plan.whole_bits, F.exp, F.sqrt)
-    return both.where(alike & near & whole).select("a", "b")
+def _apart(percent: int, plan: Plan):
+    """Sets that are near to one of another label in their cell."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in Cells.of(batches, ["key", "cell"]):
+            ids, labels, found = cells.numbers("id"), cells.numbers("label"), []
+            for rows, near, _ in cells.near(percent, plan):
+                near &= labels[rows][:, :, None] != labels[rows][:, None, :]
+                found.append(np.unique(ids[rows[near.any(axis=2) | near.any(axis=1)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())], names=["id"])
 
-def _confirm(size: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, None  # rows come sorted by b
+    return run
+
+
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the other sets has in common with own; all sorted as unsigned numbers, and not empty."""
+    own, flat = own.view(np.uint64), np.concatenate(others).view(np.uint64)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def _settle(percent: int, plan: Plan):
+    """Links, by full sets, that join all labels of a cell that any link joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in Cells.of(batches, ["key", "cell"], 2 * BLOCK):
+            ids, labels, bucket, keys = cells.numbers("id"), cells.numbers("label"), cells.numbers("key"), cells.matrix("keys")
+            sets, a, b = cells.rows.column("members").combine_chunks(), [], []
+            held, ends = sets.flatten().to_numpy(), np.asarray(sets.offsets) - sets.offsets[0].as_py()
+            members = lambda r: held[ends[r] : ends[r + 1]]  # noqa: E731, B023
+            for rows, near, _ in cells.near(percent, plan):
+                for place, close in zip(rows, near, strict=True):
+                    root = {x: x for x in labels[place].tolist()}
+
+                    def top(x: int) -> int:
+                        while root[x] != x:  # noqa: B023
+                            x = root[x]  # noqa: B023
+                        return x
+
+                    for i in np.flatnonzero(close.any(axis=1)).tolist():
+                        r, other = place[i], place[np.flatnonzero(close[i])]
+                        # a pair that meets in several buckets counts in the first one that it shares
+                        first = keys[other][np.arange(len(other)), (keys[other] == keys[r]).argmax(axis=1)]
+                        mine = top(int(labels[r]))
+                        other = [j for j, f in zip(other.tolist(), first, strict=True) if f == bucket[r] and top(int(labels[j])) != mine]
+                        if not other:
+                            continue
+                        common = _shared(members(r), [members(j) for j in other])
+                        for j, c in zip(other, common.tolist(), strict=True):
+                            linked = 100 * c >= percent * (len(members(r)) + len(members(j)) - c)
+                            x, y = top(int(labels[r])), top(int(labels[j]))
+                            if linked and x != y:
+                                root[max(x, y)] = min(x, y)
+                                a.append(ids[[r]])
+                                b.append(ids[[j]])
+            yield _pairs(a, b)
+
+    return run
+
+
+def _confirm(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b, b_id in zip(batch["a_text"], batch["b_text"], batch["b"], strict=True):
-                if last != (b_id, b):
-                    last, own = (b_id, b), shingles(b, size)
-                other = shingles(a, size)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                ok.append(100 * common >= percent * (len(own) + len(other) - common))
-            yield batch.loc[ok, ["a", "b"]]
+            x, y = (batch.column(c) for c in ("x", "y"))
+            for k in range(batch.num_rows):
+                own, other = (np.asarray(z[k].values) for z in (x, y))
+                c = int(_shared(own, [other])[0])
+                ok.append(100 * c >= percent * (len(own) + len(other) - c))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have at least this percentage of their union in common."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    own = stored(texts(ids))
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
-    both = both.join(own.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-    links = stored(both.select("a", "b", "a_text", "b_text").mapInPandas(_confirm(size, percent), "a long, b long").distinct())
-    discard(own)
-    return links
-
-
-def _cross(percent: int, plan: Plan, nearest: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        strays, members = group[group["stray"]], group[~group["stray"]]
-        if not len(strays) or not len(members):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-        def differ(column: str) -> np.ndarray:
-            s, m = (np.stack(g[column].to_numpy()).astype(np.int64).view(np.uint64) for g in (strays, members))
-            out = np.zeros((len(s), len(m)), np.int32)
-            for k in range(s.shape[1]):
-                out += np.bitwise_count(s[:, k, None] ^ m[None, :, k])
-            return out
+    side = lambda name, members: sets.select(F.col("id").alias(name), F.col("members").alias(members))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
-        n, k = strays["n_shingles"].to_numpy()[:, None], members["n_shingles"].to_numpy()[None, :]
-        near = strays["label"].to_numpy()[:, None] != members["label"].to_numpy()[None, :]
-        near &= (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & (differ("sample") <= plan.sample_limit(percent / 100))
-        whole = differ("whole")
-        near &= whole <= _whole_limit(n + k, percent, plan.whole_bits, np.exp, np.sqrt)
-        i, j = np.nonzero(near)
-        # a pair that meets in several buckets counts in the first one that it shares
-        own, other = (np.stack(g["keys"].to_numpy()) for g in (strays, members))
-        shared = own[i, (own[i] == other[j]).argmax(axis=1)] == group["key"].iloc[0]
-        i, j = i[shared], j[shared]
-        if nearest:
-            order = np.lexsort((whole[i, j], i))
-            i, j = i[order], j[order]
-            first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
-            i, j = i[first], j[first]
-        x, y = strays["id"].to_numpy()[i], members["id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
 
-    return run
+def _dealt(rows: DataFrame, cell) -> DataFrame:
+    """rows by their cells, each whole in one task and in the order of its ids."""
+    return rows.withColumn("cell", cell).repartition("key", "cell").sortWithinPartitions("key", "cell", "id")
+
 
+def forest(members: DataFrame, sets: DataFrame, percent: int, plan: Plan) -> DataFrame:
+    """Likely links (a, b) within buckets: in blocks of some BLOCK sets, each with the bucket's smallest as well."""
+    whole = members.groupBy("key").agg(F.min("id").alias("_center"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    own = F.array(F.pmod(F.xxhash64("id", "key"), F.col("_blocks")).cast("int"))
+    every = F.when(F.col("id") == F.col("_center"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(own)
+    rows = members.join(whole, "key").select("key", "id", F.explode(every).alias("_cell"))
+    rows = rows.join(sets.select("id", "n_shingles", "sample", "whole"), "id")
+    return _dealt(rows, F.col("_cell")).drop("_cell").mapInArrow(_forest(percent, plan), "a long, b long").distinct()
 
-def cross_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, plan: Plan, nearest: bool) -> DataFrame:
-    """Sketch-near pairs (a, b) within a bucket whose two sets are not connected yet, all or each block's nearest of a stray.
 
-    Only buckets of three or more sets with more than one label matter. In each, the sets of the most frequent label
-    are its main part and the others strays; blocks of strays meet blocks of all members, so that no task holds a
-    bucket, and a bucket that is all but connected costs its strays times its members, not its square.
+def cells(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Cells in which each two sets of a bucket that have different labels meet. members: key, id, label.
+
+    A bucket of some BLOCK sets, and of BLOCK_SHINGLES, is one cell. In a larger one, the sets of the most frequent label
+    are its main part and the others strays: blocks of strays meet blocks of all, so that no task holds a bucket.
     """
-    labelled = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
-    mixed = stored(mixed.where("n > 2 AND parts > 1").select("key", "main", F.ceil((F.col("n") - F.col("most")) / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols")))
-    carried = ["id", "label", "n_shingles", "keys", "sample", "whole"]
-    rows = labelled.join(mixed, "key").join(nodes.select("id", "n_shingles", "keys", "sample", "whole"), "id")
-    spot = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    rows = members.join(sets, "id")
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "m", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("key", F.col("main.label").alias("_main"), blocks(F.col("n"), F.col("m")).alias("_cols"), blocks(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m")).alias("_rows"))
+    spot = lambda seed, n: F.pmod(F.xxhash64("id", "key", F.lit(seed)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    members = rows.withColumn("stray", F.lit(False)).withColumn("col", spot(1, "cols")).withColumn("row", F.explode(upto("rows")))
-    strays = rows.where("label != main").withColumn("stray", F.lit(True)).withColumn("row", spot(2, "rows")).withColumn("col", F.explode(upto("cols")))
-    cells = members.select("key", "row", "col", "stray", *carried).union(strays.select("key", "row", "col", "stray", *carried))
-    return cells.groupBy("key", "row", "col").applyInPandas(_cross(percent, plan, nearest), "a long, b long").distinct()
+    column = F.transform(upto("_rows"), lambda r: r * F.col("_cols") + spot(1, "_cols"))
+    row = F.when(F.col("label") != F.col("_main"), F.transform(upto("_cols"), lambda c: spot(2, "_rows") * F.col("_cols") + c)).otherwise(F.array().cast("array<int>"))
+    met = F.when(F.col("_cols") == 1, F.array(F.lit(0))).otherwise(F.array_union(column, row))
+    return _dealt(rows.join(sizes, "key").withColumn("_cell", F.explode(met)), F.col("_cell")).drop("_main", "_cols", "_rows", "_cell")
+
 
+def linked(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, percent: int, plan: Plan, also: DataFrame | None = None) -> DataFrame:
+    """``id`` and ``label``, the smallest id of its component, for every set that is linked to another.
 
-def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, percent: int, plan: Plan, also: DataFrame | None = None) -> DataFrame:
-    """``id`` and ``label``, the smallest id of its component, for every node that is linked to another.
+    keys: id long, keys (of signed()); the sets are distinct and not empty. texts: gives (id, text) for a table of ids.
+    also: more links (a, b).
 
-    nodes: id long, n_shingles, keys, sample, whole; the sets are distinct and not empty. texts: gives (id, text) for a
-    table of ids. also: more links (a, b). Each node of a bucket is paired with the bucket's smallest id; where that
-    leaves a bucket unconnected, the nodes outside its main part with the nearest of another part, which mostly joins what
-    belongs together; and then all that is still apart with the bucket's other parts.
+    Only sets that share a bucket go on; their sketches and full sets are made once and stored. forest() proposes a likely
+    link for each, and full sets confirm it, which joins most of what belongs together. What is then still apart and near
+    by its sketches meets once more in cells(), with the full sets: no link between different labels is lost there.
     """
-    buckets = nodes.select("id", F.explode("keys").alias("key"))
-    centers = stored(buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_m")).where("b < _m").select("key", "b"))
-    members = stored(buckets.join(centers, "key"))
-    discard(centers)
-    stars = stored(_sifted(members.where("id != b").select(F.col("id").alias("a"), "b").distinct(), nodes, percent, plan))
-    links = confirmed(stars, texts, size, percent)
+    buckets = keys.select("id", F.explode("keys").alias("key"))
+    several = stored(buckets.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"))
+    members = stored(restricted(buckets, several).select("key", "id"))
+    discard(several)
+    ids = stored(members.select("id").distinct())
+    sets = stored(texts(ids).select("id", "text").mapInArrow(_sets(size, plan), SET))
+    links = stored(confirmed(stored(forest(members, sets, percent, plan)), sets, percent))
     if also is not None:
         links = links.union(also)
-    labels, tested = stored(components(links)), stars
-    for nearest in (True, False):
-        more = stored(cross_pairs(members.select("key", "id"), nodes, labels, percent, plan, nearest).join(tested, ["a", "b"], "left_anti"))
+    labels = stored(components(links))
+    sketches = sets.select("id", "n_shingles", "sample", "whole")
+    name = F.coalesce("label", "id").alias("label")
+    while True:
+        # of a bucket in very many parts, one set of each first
+        parted = members.join(labels, "id", "left").select("key", "id", name)
+        parts = parted.groupBy("key", "label").agg(F.min("id").alias("id")).select("key", "label", "id")
+        large = stored(parts.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("key"))
+        if not large.limit(1).count():
+            break
+        more = stored(confirmed(stored(forest(restricted(parts, large).select("key", "id"), sets, percent, plan)), sets, percent))
         if not more.limit(1).count():
-            continue
-        links, tested = stored(links.union(confirmed(more, texts, size, percent))), tested.union(more)
+            break
+        links = stored(links.union(more))
         labels = stored(components(links))
-    discard(members)
+    apart = stored(cells(parted, sketches).mapInArrow(_apart(percent, plan), "id long").distinct())
+    if apart.limit(1).count():
+        rest = parted.join(apart, "id", "left_semi").join(keys, "id")
+        more = stored(cells(rest, sets).mapInArrow(_settle(percent, plan), "a long, b long"))
+        if more.limit(1).count():
+            labels = stored(components(links.union(more)))
+    for done in (members, sets):
+        discard(done)
     return labels
 
 
 def _documents(size: int, plan: Plan):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc_id, *signed(text, size, plan)) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)]
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "hi", "lo", "keys", "sample", "whole"])
-            yield out.astype({"doc_id": "Int64"})
+            for own, columns in signed(batch.column("text"), size, plan):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[own.start : own.stop], *columns], names=["doc_id", "n_shingles", "hi", "lo", "keys"])
 
     return run
 
@@ -261,28 +434,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     Null and empty texts, and texts without words, have the empty set: linked with nothing, component_id is their own id.
     A null id can't be linked: its component_id is null and it is kept. Rows that repeat an id are one document: links
     of each of its texts count for all, each row shows its own n_shingles. Further columns of docs are ignored. An empty
-    table gives an empty table. Texts are hashed whole, one at a time, whatever their length.
+    table gives an empty table. Texts are hashed whole, whatever their length.
     """
     plan = DOCUMENTS
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signs = stored(plain.mapInPandas(_documents(size, plan), f"doc_id long, {SIGNED}"))
+    signs = stored(plain.mapInArrow(_documents(size, plan), f"doc_id long, {SIGNED}"))
     linkable = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stored(linkable.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")))
     rows = signs.select("doc_id", "n_shingles", "hi", "lo").join(reps, ["hi", "lo"], "left")
     rows = stored(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("id")).otherwise(F.col("doc_id")).alias("id")))
-    nodes = stored(linkable.join(reps, ["hi", "lo"]).where("doc_id = id").select("id", "n_shingles", "keys", "sample", "whole"))
+    keys = linkable.select("doc_id", "hi", "lo", "keys").join(reps, ["hi", "lo"]).where("doc_id = id")
+    keys = stored(keys.select("id", "keys"))
     discard(signs)
     # an id with several texts stands for several sets
     twice = rows.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("_m")).where("b < _m").select("doc_id", "b")
     same = rows.join(twice, "doc_id").where("id != b").select(F.col("id").alias("a"), "b")
     named = plain.withColumnRenamed("doc_id", "id")
-    labels = linked(nodes, lambda ids: restricted(named, ids), size, percent, plan, same)
-    discard(nodes)
+    labels = linked(keys, lambda ids: restricted(named, ids), size, percent, plan, same)
+    discard(keys)
     component = F.coalesce("label", "id")
     return rows.join(labels, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near duplicates of an earlier id, with the columns of docs. Rows that repeat an id all stay."""
-    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id")
-    return restricted(docs, stored(gone.distinct()), outside=True)
+    """One row of each group of near duplicates, the one of the smallest id, with the columns of docs.
+
+    Of rows that repeat an id one stays, the one of the first text. Rows with a null id take part by a hash of their text,
+    after all other ids, so of copies of one another one stays too. Null and empty texts have no duplicates but by
+    their id. An empty table stays empty.
+    """
+    body = F.coalesce("text", F.lit(""))
+    stand_in = F.shiftrightunsigned(F.xxhash64(body), 2).bitwiseOR(F.lit(2**62))
+    own = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    judged = stored(near_duplicates(own.select("_k", "text"), size, percent, doc_id="_k"))
+    gone = stored(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_k")).distinct())
+    kept = restricted(own, gone, outside=True)
+    twice = stored(judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_k")))
+    if twice.limit(1).count():
+        first = F.row_number().over(W.partitionBy("_k").orderBy("text", *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]))
+        one = restricted(kept, twice).withColumn("_n", first).where("_n = 1").drop("_n")
+        kept = restricted(kept, twice, outside=True).unionByName(one)
+    return kept.select(docs.columns)

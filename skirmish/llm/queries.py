@@ -228,10 +228,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without near copies of earlier paragraphs, and then of earlier passages."""
+    """What is left of every document without near copies of earlier paragraphs, and then of earlier passages.
+
+    n_removed: paragraphs and passages that went, n_cut_words: the words in them, n_repeated: with those that stay and have
+    copies elsewhere. A document that shares nothing has 0 in all three.
+    """
     kept = stored(paragraphs.drop_repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text")))
     kept = passages.drop_repeated_passages(kept)
-    return kept.select("doc_id", "n_paragraphs", F.size("gone").cast("long").alias("n_removed"), "gone", "n_cut_words", F.sha2("text", 256).alias("kept_sha256"))
+    removed = F.size("gone") + F.col("n_passages")
+    return kept.select(
+        "doc_id", "n_paragraphs", removed.alias("n_removed"), (F.col("n_gone_words") + F.col("n_cut_words")).alias("n_cut_words"),
+        (removed + F.size("copied") + F.col("n_copied_passages")).alias("n_repeated"), "gone", F.sha2("text", 256).alias("kept_sha256"),
+    )
 
 
 def word_tokenizer() -> str:
