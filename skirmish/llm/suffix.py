@@ -4,15 +4,19 @@ The texts are sharded by content instead of by place. Each window of LENGTH byte
 hash, the rightmost of equals). The choice depends on the window's bytes only, so equal windows elect the same gram at the
 same offset and meet in that gram's shard; windows whose gram occurs once are settled at once.
 
-Within a shard the strings around the gram stand aligned. The order of the suffixes that start in one column is turned
-into the order of those that start one column earlier by one stable deal on the byte between, which is the step by which
-Burrows-Wheeler transforms are interleaved; common prefixes of neighbours follow from those of the column before. No suffix
-is ever sorted again, and a window is repeated where a neighbour shares LENGTH bytes with it.
+Within a shard the strings around the gram stand aligned, and its Burrows-Wheeler transform is kept by columns: the bytes of
+a column in the order of the suffixes that start right of it. A stable deal by these bytes turns that order into the one of
+the suffixes that start in the column itself, and common prefixes of neighbours follow from those before (sweep()). Grams of
+more strings than a shard holds have several shards, whose transforms are made apart, one a task, and then merged: the
+interleave of the shards' suffixes is refined column by column from their transforms alone (merged()), without sorting or
+even seeing a suffix again. A window is repeated where a neighbour shares LENGTH bytes with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -20,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import discard, restricted, stored
+from skirmish.llm.common import discard, keyed, restricted, stored
+from skirmish.llm.texts import powers
 
 LENGTH = 200
 #: Bytes of the elected gram.
@@ -29,8 +34,10 @@ GRAM = 80
 SPAN = LENGTH - GRAM + 1
 #: Columns of a shard: as many bytes before the gram as a window can have, and LENGTH bytes from its start.
 COLUMNS = SPAN - 1 + LENGTH
-#: Strings that one shard interleaves at a time; a gram of more distinct strings is spread over tasks instead.
-SHARD = 20_000
+#: Strings of a shard, about.
+SHARD = 4_096
+#: Strings of one gram whose shards one task merges, at some 40 bytes each; the windows of a gram of more are counted instead.
+MERGED = 4_000_000
 #: Never part of UTF-8: stands where a string has no byte.
 PAD = 0xFF
 #: Bytes of text that one numpy step handles; positions must fit the low bits of a packed election.
@@ -40,18 +47,12 @@ _TABLE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) | np
 _BASE = 0xD6E8FEB86659FD93
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = base
-    return np.multiply.accumulate(out)
-
-
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each gram of data, from running sums."""
     n = len(data) - GRAM + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    h = (sums[GRAM:] - sums[:-GRAM]) * _powers(pow(_BASE, -1, 2**64), n)
+    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=sums[1:])
+    h = (sums[GRAM:] - sums[:-GRAM]) * powers(pow(_BASE, -1, 2**64), n)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -91,7 +92,7 @@ def elections(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _elect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, versions, texts = batch["doc_id"].to_numpy(), batch["v"].to_numpy(), [t.encode() for t in batch["text"]]
+        ids, versions, texts = batch["k"].to_numpy(), batch["v"].to_numpy(), [t.encode() for t in batch["text"]]
         at, size = 0, 0
         for k, text in enumerate(texts):
             size += len(text)
@@ -102,7 +103,7 @@ def _elect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     g, doc, place, lo, n = elections(own, stop)
                     yield pd.DataFrame({
                         "g": g,
-                        "doc_id": ids[at + base[0] + doc],
+                        "k": ids[at + base[0] + doc],
                         "v": versions[at + base[0] + doc],
                         "lo": (lo + base[1]).astype(np.int32),
                         "d": (place - lo).astype(np.int32),
@@ -124,78 +125,105 @@ def _pieces(part: list[bytes], ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield own, np.array([len(own)]), (k, a)
 
 
-_STRINGS = {"g": "long", "c1": "long", "c2": "long", "doc_id": "long", "v": "int", "lo": "int", "n": "int", "d": "int", "own": "binary"}
+_STRINGS = {"g": "long", "c1": "long", "c2": "long", "k": "long", "v": "long", "lo": "int", "n": "int", "d": "int", "own": "binary"}
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The string under each election's windows, with a fingerprint of it and of the gram's offset in it."""
     for batch in batches:
         rows = []
-        for doc_id, v, text, *found in batch[["doc_id", "v", "text", "g", "lo", "d", "n"]].itertuples(index=False):
+        for k, v, text, *found in batch[["k", "v", "text", "g", "lo", "d", "n"]].itertuples(index=False):
             data = text.encode()
             for g, lo, d, n in zip(*(x.tolist() for x in found), strict=True):
                 own = data[lo : lo + n - 1 + LENGTH]
                 print_ = xxhash.xxh3_128_intdigest(own, seed=d)
-                rows.append((g, (print_ >> 64) - 2**63, (print_ & (2**64 - 1)) - 2**63, doc_id, v, lo, n, d, own))
+                rows.append((g, (print_ >> 64) - 2**63, (print_ & (2**64 - 1)) - 2**63, k, v, lo, n, d, own))
             if len(rows) >= 20_000:
                 yield pd.DataFrame(rows, columns=list(_STRINGS))
                 rows = []
         yield pd.DataFrame(rows, columns=list(_STRINGS))
 
 
-def interleave(strings: list[bytes], offsets: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """hits[i, k]: the window that starts k columns into a shard's string i is also found in another string of its group.
-
-    Column SPAN - 1 holds the gram's first byte. group ascends over the strings.
-    """
-    m = len(strings)
-    cells = np.full((m, COLUMNS), PAD, np.uint8)
+def columns_of(strings: list[bytes], offsets: np.ndarray) -> np.ndarray:
+    """The strings as rows of columns, aligned so that column SPAN - 1 holds the gram's first byte; returned by columns."""
+    cells = np.full((len(strings), COLUMNS), PAD, np.uint8)
     for i, (own, d) in enumerate(zip(strings, offsets.tolist(), strict=True)):
         a = SPAN - 1 - d
         cells[i, a : a + len(own)] = np.frombuffer(own, np.uint8)
-    cells = np.ascontiguousarray(cells.T)
-    hits = np.zeros((SPAN, m), np.bool_)
-    order, common = np.arange(m), np.zeros(m + 1, np.int32)  # common[k]: prefix shared by the k-th and the one before
+    return np.ascontiguousarray(cells.T)
+
+
+def sweep(group: np.ndarray, column: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each column from the last to the first: its number, its bytes in the order of the suffixes right of it (the
+    transform), the order of the suffixes that start in it, and the prefix that each shares with the one before.
+
+    group: of each string, ascending; strings of different groups share nothing. column: gives a column's bytes for the
+    order of the suffixes right of it.
+    """
+    order, common = np.arange(len(group)), np.zeros(len(group) + 1, np.int32)
     base = group.astype(np.int64) << 8
     for j in range(COLUMNS - 1, -1, -1):
-        byte = cells[j][order]
+        byte = column(j, order)
         key = base[order] | byte
         p = np.argsort(key, kind="stable")
         key = key[p]
         near = np.flatnonzero((key[1:] == key[:-1]) & ((key[1:] & 0xFF) != PAD))  # k-th and k+1-th stay neighbours
-        after = np.zeros(m + 1, np.int32)
+        after = np.zeros(len(group) + 1, np.int32)
         if len(near):
             cuts = np.stack([p[near] + 1, p[near + 1] + 1], axis=1).ravel()
             after[near + 1] = np.minimum.reduceat(common, cuts)[::2] + 1
         order, common = order[p], after
-        if j < SPAN:
-            hits[j, order] = np.maximum(common[:-1], common[1:]) >= LENGTH
-    return hits.T
+        yield j, byte, order, common
 
 
-def _covered(strings: list[bytes], offsets: np.ndarray, group: np.ndarray) -> list[list[dict[str, int]]]:
-    """Runs of repeated windows of each string, as first and last start relative to its own."""
-    out: list[list[dict[str, int]]] = [[] for _ in strings]
-    hits = interleave(strings, offsets, group)
-    edge = np.diff(np.pad(hits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    for k, x, y in zip(i.tolist(), a.tolist(), b.tolist(), strict=True):
-        shift = SPAN - 1 - int(offsets[k])
-        out[k].append({"a": x - shift, "b": y - 1 - shift})
-    return out
+def transform(strings: list[bytes], offsets: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """sweep() over a shard of its own."""
+    cells = columns_of(strings, offsets)
+    return sweep(group, lambda j, order: cells[j][order])
 
 
-_OUT = ["g", "c1", "c2", "runs"]
+def merged(shard: np.ndarray, transforms: Iterator[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """sweep() over the union of a gram's shards. shard: of each string, ascending; transforms: of each column from the last
+    to the first, the shards' bytes. The order so far says how the shards' suffixes interleave, so it deals their bytes
+    out, and these refine it."""
+
+    def column(j: int, order: np.ndarray) -> np.ndarray:
+        byte = np.empty(len(order), np.uint8)
+        byte[np.argsort(shard[order], kind="stable")] = np.concatenate(next(transforms))
+        return byte
+
+    return sweep(np.zeros(len(shard), np.int64), column)
+
+
+def repeated(steps: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of a sweep that share LENGTH bytes with a neighbour: string, first and last start in the string."""
+    last, found = np.full(len(offsets), -1), []
+    for j, _, order, common in steps:
+        if j < SPAN:
+            hit = np.zeros(len(offsets), np.bool_)
+            hit[order] = np.maximum(common[:-1], common[1:]) >= LENGTH
+            last[hit & (last < 0)] = j
+            done = np.flatnonzero(~hit & (last >= 0))
+            found.append((done, np.full(len(done), j + 1), last[done]))
+            last[done] = -1
+    done = np.flatnonzero(last >= 0)
+    found.append((done, np.zeros(len(done), np.int64), last[done]))
+    which, first, final = (np.concatenate([f[k] for f in found]) for k in range(3))
+    shift = SPAN - 1 - offsets[which]
+    return which, first - shift, final - shift
+
+
+_OUT = "g long, c1 long, c2 long, a int, b int"
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Interleaves the groups of a stream that is sorted by g, many small groups at a time."""
+    """Settles the grams of one shard in a stream that is sorted by g, many small ones at a time."""
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
-        g = part["g"].to_numpy()
+        g, d = part["g"].to_numpy(), part["d"].to_numpy().astype(np.int64)
         group = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
-        part = part.assign(runs=_covered(part["own"].tolist(), part["d"].to_numpy(), group))
-        return part.loc[part["runs"].map(len) > 0, _OUT]
+        which, a, b = repeated(transform(part["own"].tolist(), d, group), d)
+        return part[["g", "c1", "c2"]].iloc[which].assign(a=a.astype(np.int32), b=b.astype(np.int32))
 
     held: list[pd.DataFrame] = []
     rows = 0
@@ -208,11 +236,50 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = pd.concat(held, ignore_index=True)
             g = part["g"].to_numpy()
             cut = int(np.argmax(g == g[-1]))  # the last group may go on
-            if cut:
-                yield settle(part.iloc[:cut].reset_index(drop=True))
+            for at in _cuts(g[:cut]):
+                yield settle(part.iloc[at].reset_index(drop=True))
             held, rows = [part.iloc[cut:]], len(part) - cut
     if rows:
-        yield settle(pd.concat(held, ignore_index=True))
+        part = pd.concat(held, ignore_index=True)
+        for at in _cuts(part["g"].to_numpy()):
+            yield settle(part.iloc[at].reset_index(drop=True))
+
+
+def _cuts(g: np.ndarray) -> Iterator[slice]:
+    """Whole groups of some SHARD rows together."""
+    if len(g):
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        _, first = np.unique(begin // SHARD, return_index=True)
+        edges = [*begin[first].tolist(), len(g)]
+        yield from (slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+_TRANSFORM = "g long, shard int, j int, bytes binary"
+
+
+def _transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shards of a stream that is sorted by (g, shard), as rows: the strings' fingerprints and offsets as column COLUMNS,
+    then the transform."""
+    rows = (r for batch in batches for r in batch[["g", "shard", "c1", "c2", "d", "own"]].itertuples(index=False, name=None))
+    for (g, shard), own in groupby(rows, itemgetter(0, 1)):
+        _, _, c1, c2, d, strings = zip(*own, strict=True)
+        d = np.array(d, np.int64)
+        held = [(g, shard, COLUMNS, np.stack([np.array(c1, np.int64), np.array(c2, np.int64), d]).tobytes())]
+        held += [(g, shard, j, byte.tobytes()) for j, byte, _, _ in transform(list(strings), d, np.zeros(len(d), np.int64))]
+        yield pd.DataFrame(held, columns=["g", "shard", "j", "bytes"])
+
+
+def _merge_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges the transforms of a stream that is sorted by g, falling column, and shard; one column is held at a time."""
+    rows = (r for batch in batches for r in batch[["g", "j", "shard", "bytes"]].itertuples(index=False, name=None))
+    for g, own in groupby(rows, itemgetter(0)):
+        columns = ([r[3] for r in shards] for _, shards in groupby(own, itemgetter(1)))
+        heads = [np.frombuffer(h, np.int64).reshape(3, -1) for h in next(columns)]
+        c1, c2, d = np.concatenate(heads, axis=1)
+        shard = np.repeat(np.arange(len(heads)), [h.shape[1] for h in heads])
+        transforms = ([np.frombuffer(x, np.uint8) for x in column] for column in columns)
+        which, a, b = repeated(merged(shard, transforms), d)
+        yield pd.DataFrame({"g": np.full(len(which), g), "c1": c1[which], "c2": c2[which], "a": a.astype(np.int32), "b": b.astype(np.int32)})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,38 +290,47 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"g": g, "c1": c1, "c2": c2, "a": np.arange(len(prints), dtype=np.int32), "w1": [(x >> 64) - 2**63 for x in prints], "w2": [(x & (2**64 - 1)) - 2**63 for x in prints]})
 
 
+def repeated_runs(distinct: DataFrame) -> DataFrame:
+    """``g``, ``c1``, ``c2``, ``a`` and ``b``: the strings' windows, from start a to start b, that other strings of their gram hold
+    too. distinct: g, c1, c2, d, own; no string twice."""
+    key = ["g", "c1", "c2"]
+    sizes = distinct.groupBy("g").agg(F.count("*").alias("_n"))
+    sized = lambda where: distinct.join(sizes.where(where), "g")
+    small = sized(f"_n BETWEEN 2 AND {SHARD}").select(*key, "d", "own").repartition("g").sortWithinPartitions("g", "c1", "c2").mapInPandas(_shards, _OUT)
+    shard = F.pmod("c1", F.ceil(F.col("_n") / SHARD)).cast("int").alias("shard")
+    large = sized(f"_n > {SHARD} AND _n <= {MERGED}").select(*key, "d", "own", shard)
+    transforms = stored(large.repartition("g", "shard").sortWithinPartitions("g", "shard", "c1", "c2").mapInPandas(_transform, _TRANSFORM))
+    joined = transforms.repartition("g").sortWithinPartitions("g", F.desc("j"), "shard").mapInPandas(_merge_shards, _OUT)
+    # a gram of more strings still: its windows are counted one by one
+    windows = sized(f"_n > {MERGED}").select(*key, "own").mapInPandas(_windows, "g long, c1 long, c2 long, a int, w1 long, w2 long")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("_n")).where("_n > 1").select("w1", "w2")
+    counted = windows.join(twice, ["w1", "w2"], "left_semi").select(*key, "a", F.col("a").alias("b"))
+    return small.union(joined).union(counted)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``v`` and ``starts``, ``ends``: the byte ranges, merged and in order, of each text's repeated strings.
+    """``k``, ``v`` and ``starts``, ``ends``: the byte ranges, merged and in order, of each text's repeated strings.
 
-    docs: doc_id long, v int, text, none null; v tells texts of one id apart. Only texts with such strings are returned.
+    docs: k long, v long, text, none null; v tells texts of one k apart. Only texts with such strings are returned.
     """
-    found = stored(docs.mapInPandas(_elect, "g long, doc_id long, v int, lo int, d int, n int"))
+    found = stored(docs.mapInPandas(_elect, "g long, k long, v long, lo int, d int, n int"))
     # written, so that the join deals both sides anew and may split a gram of very many elections
     often = stored(found.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g"))
-    mine = found.join(often, "g", "left_semi").groupBy("doc_id", "v").agg(F.collect_list(F.struct("g", "lo", "d", "n")).alias("_f"))
-    mine = stored(mine.select("doc_id", "v", *[F.col(f"_f.{c}").alias(c) for c in ("g", "lo", "d", "n")]))
+    mine = found.join(often, "g", "left_semi").groupBy("k", "v").agg(F.collect_list(F.struct("g", "lo", "d", "n")).alias("_f"))
+    mine = stored(mine.select("k", "v", *[F.col(f"_f.{c}").alias(c) for c in ("g", "lo", "d", "n")]))
     discard(found)
     discard(often)
-    texts = restricted(docs, mine.select("doc_id", "v")).join(mine, ["doc_id", "v"])
+    texts = restricted(docs, mine.select("k", "v")).join(mine, ["k", "v"])
     strings = stored(texts.mapInPandas(_strings, ", ".join(f"{c} {t}" for c, t in _STRINGS.items())))
     discard(mine)
     key = ["g", "c1", "c2"]
     distinct = stored(strings.groupBy(*key).agg(F.count("*").alias("copies"), F.first("own").alias("own"), F.first("d").alias("d"), F.first("n").alias("n")))
-    sizes = distinct.groupBy("g").agg(F.count("*").alias("_n"))
-    several = distinct.join(sizes.where(f"_n BETWEEN 2 AND {SHARD}").select("g"), "g", "left_semi")
-    small = several.select(*key, "d", "own").repartition("g").sortWithinPartitions("g").mapInPandas(_shards, "g long, c1 long, c2 long, runs array<struct<a:int,b:int>>")
-    # a gram of very many distinct strings: its windows are counted one by one
-    large = distinct.join(sizes.where(f"_n > {SHARD}").select("g"), "g", "left_semi").select(*key, "own")
-    windows = large.mapInPandas(_windows, "g long, c1 long, c2 long, a int, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("_n")).where("_n > 1").select("w1", "w2")
-    wide = windows.join(twice, ["w1", "w2"], "left_semi").select(*key, F.col("a"), F.col("a").alias("b"))
     copied = distinct.where("copies > 1").select(*key, F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
-    runs = copied.union(small.select(*key, F.explode("runs").alias("_r")).select(*key, "_r.a", "_r.b")).union(wide)
-    spans = strings.select(*key, "doc_id", "v", "lo").join(runs, key)
-    spans = spans.select("doc_id", "v", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + LENGTH).alias("e"))
-    spans = spans.groupBy("doc_id", "v").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_s"))
-    spans = spans.select("doc_id", "v", F.col("_s.s").alias("s"), F.col("_s.e").alias("e"))
-    spans = stored(spans.mapInPandas(_merge, "doc_id long, v int, starts array<int>, ends array<int>"))
+    spans = strings.select(*key, "k", "v", "lo").join(copied.union(repeated_runs(distinct)), key)
+    spans = spans.select("k", "v", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + LENGTH).alias("e"))
+    spans = spans.groupBy("k", "v").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_s"))
+    spans = spans.select("k", "v", F.col("_s.s").alias("s"), F.col("_s.e").alias("e"))
+    spans = stored(spans.mapInPandas(_merge, "k long, v long, starts array<int>, ends array<int>"))
     discard(strings)
     discard(distinct)
     return spans
@@ -269,7 +345,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             opens = np.concatenate([[True], s[1:] > reach[:-1]])
             starts.append(s[opens])
             ends.append(reach[np.concatenate([opens[1:], [True]])])
-        yield batch[["doc_id", "v"]].assign(starts=starts, ends=ends)
+        yield batch[["k", "v"]].assign(starts=starts, ends=ends)
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,10 +357,6 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["doc_id", "n_bytes", "starts", "ends"]].assign(kept=kept)
 
 
-#: Stands for a null id inside.
-_NO_ID = -(2**63)
-
-
 def cut_repeated(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``starts`` and ``ends`` of the removed byte ranges, and ``kept``, the bytes left, as binary.
 
@@ -292,16 +364,15 @@ def cut_repeated(docs: DataFrame) -> DataFrame:
     any string of LENGTH bytes over it also starts anywhere else, in the same text or another.
 
     Null texts count as empty; texts of fewer than LENGTH bytes lose nothing. Repeated rows are copies of each other and lose
-    all they share. Rows that repeat an id with another text are told apart by a hash of the text. Null ids are
-    documents too. Further columns are ignored. An empty table gives an empty table. A text may be of any length.
+    all they share. Rows that repeat an id with another text are told apart by a 64-bit hash of the text, and those of
+    null ids, which are documents too, by one of 126 bits. Further columns are ignored. An empty table gives an empty table. A text may be of any length.
     """
-    text = F.coalesce("text", F.lit(""))
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.hash(text).alias("v"), text.alias("text"))
-    spans = repeated_spans(plain)
+    plain = keyed(docs)
+    spans = repeated_spans(plain.select("k", "v", "text"))
     sized = plain.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    ids = spans.select("doc_id", "v")
-    hit = restricted(sized, ids).join(spans, ["doc_id", "v"])
+    ids = spans.select("k", "v")
+    hit = restricted(sized, ids).join(spans, ["k", "v"])
     hit = hit.select("doc_id", "n_bytes", "text", "starts", "ends").mapInPandas(_cut, "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary")
     none = F.array().cast("array<int>")
     clean = restricted(sized, ids, outside=True).select("doc_id", "n_bytes", none.alias("starts"), none.alias("ends"), F.encode("text", "UTF-8").alias("kept"))
-    return hit.union(clean).withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    return hit.union(clean)

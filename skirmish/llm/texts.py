@@ -16,6 +16,8 @@ _SPACE[[32, *range(9, 14)]] = True
 #: A number for each byte; A-Z have those of a-z.
 _VALUES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(8).integers(0, 2, 256, dtype=np.uint64)
 _VALUES[65:91] = _VALUES[97:123]
+#: The same twice more, with A-Z apart.
+_EXACT = [np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (9, 10)]
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -59,11 +61,16 @@ def word_places(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, stops, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+def word_prints(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word as it is."""
+    return tuple(word_hashes(data, starts, stops, values) for values in _EXACT)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
     """A 64-bit hash of each word, A-Z lower-cased: a polynomial of its bytes' numbers, from running sums."""
     grow, shrink = _tables(1 << max(20, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * grow[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * grow[: len(data)], out=sums[1:])
     h = (sums[stops] - sums[starts]) * shrink[starts]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xFF51AFD7ED558CCD)

@@ -283,6 +283,62 @@ def test_tokens(spark, sf_dir, tmp_path):
     assert tokens.read_tokens(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_files_are_laid_out_for_selective_reads(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path, tokenizer = f"{tmp_path}/tokens", queries.word_tokenizer()
+    rng = random.Random(2)
+    rows = [(i, " ".join(words(rng, 100))) for i in range(24_000)]
+    tokens.write_tokens(spark.createDataFrame(rows, TEXTS).coalesce(1), path, tokenizer)
+    groups = pages = 0
+    for name in sorted(tmp_path.glob("tokens/*.parquet")):
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            columns = {(c := meta.row_group(g).column(j)).path_in_schema: c for j in range(meta.num_columns)}
+            assert all(c.has_column_index and c.has_offset_index and c.compression == "ZSTD" for c in columns.values())
+            assert all(set(columns[c].encodings) >= {"DELTA_BINARY_PACKED"} for c in ("doc_id", "start_in_part"))
+            assert "RLE_DICTIONARY" in next(c for p, c in columns.items() if p.startswith("ids")).encodings
+            assert meta.row_group(g).total_byte_size <= 64 << 20
+            groups, pages = groups + 1, pages + -(-meta.row_group(g).num_rows // 5000)
+    assert groups and pages > groups
+    whole = {r["doc_id"]: r for r in tokens.read_tokens(spark, path).where("doc_id BETWEEN 700 AND 705").collect()}
+    some = tokens.read_tokens(spark, path, 700, 705)
+    assert {r["doc_id"]: r for r in some.collect()} == whole and len(whole) == 6
+    plan = some.select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,700)" in plan and "ids:array" not in plan.split("ReadSchema")[1]
+
+
+def test_tokenizers_that_encode_spaces_get_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = pa.array(["two  words\n", None, "", "a\x00b \x00", " lead", "\u00e9t\u00e9 " * 50])
+    for name, apart in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        assert tokens.Encoder(path, 2).by_words is apart
+        got, want = tokens.Encoder(path, 2).encode(texts), tokens.Encoder(path, 2, False).encode(texts)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+        assert tokens.Encoder(path, None).encode(texts[:0])[0].size == 0
+    with pytest.raises(ValueError, match="white space"):
+        tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2, True)
+
+
+def test_words_that_do_not_fit_the_memory_or_whose_hashes_meet(monkeypatch):
+    import pyarrow as pa
+
+    path, rng = queries.word_tokenizer(), random.Random(3)
+    texts = pa.array([" ".join(words(rng, 200)) for _ in range(20)])
+    want = tokens.Encoder(path, 2).encode(texts)
+    one = tokens.Encoder(path, 2)
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)
+    for t in range(20):
+        one.encode(texts[t : t + 1])
+    assert one.encode(texts)[0].tolist() == want[0].tolist()
+    exact = tokens.word_prints
+    monkeypatch.setattr(tokens, "word_prints", lambda *a: (exact(*a)[0] % np.uint64(50), exact(*a)[1]))
+    assert tokens.Encoder(path, 2).encode(texts)[0].tolist() == want[0].tolist()
+
+
 def cut_brute(rows):
     n, seen = suffix.LENGTH, Counter()
     coded = [(i, (t or "").encode()) for i, t in rows]
@@ -320,19 +376,57 @@ def test_cut_repeated(spark, passages):
     assert suffix.cut_repeated(spark.createDataFrame([], TEXTS)).count() == 0
 
 
-def test_cut_repeated_by_counted_windows(spark, passages, monkeypatch):
-    """The way of grams with very many distinct strings."""
-    monkeypatch.setattr(suffix, "SHARD", 1)
+@pytest.mark.parametrize(("shard", "merge"), [(1, 4_000_000), (3, 4_000_000), (1, 1)])
+def test_cut_repeated_of_grams_in_several_shards(spark, passages, monkeypatch, shard, merge):
+    """Shards' transforms are merged; a gram of more strings than that has its windows counted."""
+    monkeypatch.setattr(suffix, "SHARD", shard)
+    monkeypatch.setattr(suffix, "MERGED", merge)
+    # the tasks of a local session import the module anew, so the parts are run here as well
     assert cut_rows(spark, passages) == cut_brute(passages)
 
 
+@pytest.mark.parametrize("shards", [1, 2, 5])
+def test_merged_transforms_are_those_of_the_union(shards):
+    """The merge sees the shards' transforms only, and gives the transform, the order and the prefixes of all strings."""
+    rng = random.Random(shards)
+    base = bytes(rng.choices(b"ab", k=suffix.COLUMNS))
+    strings, offsets = [], []
+    for _ in range(60):
+        d, own = rng.randrange(suffix.SPAN), bytearray(base)
+        own[rng.randrange(len(own))] ^= rng.random() < 0.7
+        a, n = suffix.SPAN - 1 - d, rng.randrange(1, d + 2)
+        strings.append(bytes(own[a : a + n - 1 + suffix.LENGTH]))
+        offsets.append(d)
+    offsets, shard = np.array(offsets), np.sort(np.array([rng.randrange(shards) for _ in strings]))
+    whole = list(suffix.transform(strings, offsets, np.zeros(len(strings), np.int64)))
+    apart = [[byte for _, byte, _, _ in suffix.transform([strings[i] for i in np.flatnonzero(shard == s)], offsets[shard == s], np.zeros((shard == s).sum(), np.int64))] for s in range(shards)]
+    for x, y in zip(suffix.merged(shard, map(list, zip(*apart, strict=True))), whole, strict=True):
+        assert all(np.array_equal(p, q) for p, q in zip(x, y, strict=True))
+    seen = Counter((suffix.SPAN - 1 - d + k, s[k : k + suffix.LENGTH]) for s, d in zip(strings, offsets.tolist(), strict=True) for k in range(len(s) - suffix.LENGTH + 1))
+    want = {(i, k) for i, (s, d) in enumerate(zip(strings, offsets.tolist(), strict=True)) for k in range(len(s) - suffix.LENGTH + 1) if seen[suffix.SPAN - 1 - d + k, s[k : k + suffix.LENGTH]] > 1}
+    which, first, last = suffix.repeated(iter(whole), offsets)
+    assert {(i, k) for i, a, b in zip(which.tolist(), first.tolist(), last.tolist(), strict=True) for k in range(a, b + 1)} == want and want
+
+
+def test_null_ids_are_told_apart_by_more_than_32_bits(spark):
+    """Two texts without an id whose 32-bit hashes meet, one of them a copy: the other keeps all its bytes."""
+    own = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(x)), 256) for x in "abcd"])
+    meeting = spark.range(300_000).select(own.alias("text")).groupBy(F.hash("text").alias("h")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a < b")
+    a, b = meeting.select("a", "b").first()
+    rows = [(None, a), (None, b), (7, a)]
+    assert cut_rows(spark, rows) == cut_brute(rows)
+    lines = [(None, a + "\n" + " ".join(f"w{i}" for i in range(40))), (None, b), (7, " ".join(f"w{i}" for i in range(40)))]
+    got = {r["text"] for r in paragraphs.drop_repeated_paragraphs(spark.createDataFrame(lines, TEXTS)).collect()}
+    assert got == {lines[0][1], b, ""}
+
+
 def elected(texts):
     """Gram and offset of the gram of each window, by text and start."""
-    batch = pd.DataFrame({"doc_id": range(len(texts)), "v": 0, "text": texts})
+    batch = pd.DataFrame({"k": range(len(texts)), "v": 0, "text": texts})
     out = Counter()
     for part in suffix._elect(iter([batch])):
         for r in part.itertuples():
-            out.update((r.doc_id, r.lo + k, r.g, r.d - k) for k in range(r.n))
+            out.update((r.k, r.lo + k, r.g, r.d - k) for k in range(r.n))
     assert set(out.values()) <= {1}
     return sorted(out)
 
