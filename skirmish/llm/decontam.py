@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items of fewer words can't be told from ordinary text and are not looked for.
+from skirmish.llm.common import restricted, stored
+
+#: Items of fewer words, edited, can't be told from ordinary text: they are looked for as they are, from word to word.
 LEAST_WORDS = 8
 #: Bytes of a piece that are looked up; items too short for it take shorter pieces.
 PIECE = 8
@@ -54,14 +56,14 @@ class Items:
     """
 
     def __init__(self, rows: list[tuple[int, str]], most_edits: float):
-        self.ids, self.patterns, self.grams, self.index = [], [], [], {}
+        self.ids, self.patterns, self.grams, self.exact, self.index = [], [], [], [], {}
         limits, least, parts = [], [], {}
         for item_id, text in rows:
             found = words_of(text)
-            if len(found) < LEAST_WORDS:
+            if not found:
                 continue
-            pattern = b" ".join(found)
-            n, limit = len(pattern), math.floor(most_edits * len(pattern))
+            pattern, exact = b" ".join(found), len(found) < LEAST_WORDS
+            n, limit = len(pattern), 0 if exact else math.floor(most_edits * len(pattern))
             cuts = max(limit + 1, n // PIECE)
             size = min(PIECE, n // cuts)
             for k in range(cuts):
@@ -69,6 +71,7 @@ class Items:
                 parts.setdefault(size, []).append((int.from_bytes(pattern[at : at + size], "little"), len(self.ids), at))
             self.ids.append(item_id)
             self.patterns.append(pattern)
+            self.exact.append(exact)
             self.grams.append(grams(pattern))
             limits.append(limit)
             least.append(cuts - limit)
@@ -163,7 +166,11 @@ def _leaks(items: Items, found: list[bytes], ids: np.ndarray) -> list[tuple[int,
         if best.get((doc, item)) == 0:
             continue
         pattern, text, limit = items.patterns[item], run[a:b], int(items.limits[item])
-        if pattern in text:
+        if items.exact[item]:
+            if text != pattern or run[a - 1 : a].strip() or run[b : b + 1].strip():
+                continue
+            distance = 0
+        elif pattern in text:
             distance = 0
         else:
             # an edit spoils at most GRAM of the item's grams
@@ -183,11 +190,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
     document within ``most_edits`` times the item's length in edit operations on UTF-8 bytes. Every leak is found, with its
     least distance: of an item cut into more pieces than the edits allowed, some stand unedited in every leak (see Items).
 
+    Items of fewer than LEAST_WORDS words must stand as they are, from the start of a word to the end of one.
+
     Candidate search and check run in one narrow pass: documents are not shuffled. The items are sent to the tasks in blocks
-    of at most BLOCK_ITEMS items and BLOCK_BYTES bytes; each further block is a further pass.
+    of some BLOCK_ITEMS items and BLOCK_BYTES bytes at most; each further block is a further pass, and one block's index at
+    a time is held by the driver.
 
-    Null and empty texts hold nothing. Items with a null id, or of fewer than LEAST_WORDS words, are not looked for; documents
-    with a null id are not reported. Repeated rows of either table are reported once. Further columns are ignored. An
+    Null and empty texts hold nothing, and are held by nothing. Items with a null id are not looked for; documents
+    with a null id are not reported. Of ties the least distance counts. A text may be of any length. Repeated rows of either table are reported once. Further columns are ignored. An
     empty table on either side gives an empty table.
     """
     spark = docs.sparkSession
@@ -199,10 +209,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.distinct().collect()], most_edits))
-        out = out.union(plain.mapInPandas(_search(shared), "doc_id long, item_id long, distance long"))
+        found = plain.mapInPandas(_search(shared), "doc_id long, item_id long, distance long")
+        if blocks > 1:
+            found = stored(found)
+            shared.unpersist()
+        out = out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with the columns of docs."""
-    return docs.join(find_leaks(docs, benchmark, most_edits).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that hold no benchmark item, with the columns of docs.
+
+    As find_leaks(), and rows with a null id are searched too: a hash of the text stands in for the id, from 2^62 on. All
+    rows that share an id with a leak go. Null and empty texts stay. The ids that go are broadcast up to a number, so that
+    the texts stay where they are.
+    """
+    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(2**62))
+    own = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    leaks = find_leaks(own.select(F.col("_k").alias("doc_id"), "text"), benchmark, most_edits)
+    return restricted(own, stored(leaks.select(F.col("doc_id").alias("_k")).distinct()), outside=True).select(docs.columns)

@@ -166,7 +166,8 @@ def test_leaks(spark, leak_rows):
     assert len(got) >= 0.97 * len(want) and len(want) > 80
     gone = {g[0] for g in got}
     clean = decontam.keep_clean(frame, bench)
-    assert clean.columns == frame.columns and sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(i) for i, _ in docs if i not in gone)
+    # the row without an id holds an item as well
+    assert clean.columns == frame.columns and sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(i) for i, _ in docs if i is not None and i not in gone)
     assert decontam.find_leaks(frame, bench.limit(0)).count() == 0 and decontam.find_leaks(frame.limit(0), bench).count() == 0
 
 
@@ -205,6 +206,34 @@ def test_leaks_with_edits_up_to_the_limit(spark):
     assert got == leaks_brute(docs, items) and len(got) >= 230
 
 
+def test_short_items_are_found_as_they_are(spark):
+    items = [(1, "Paris"), (2, "the red fox"), (3, "a"), (4, ""), (5, "!?")]
+    docs = [(1, "in Paris, once"), (2, "comparison of parish"), (3, "paris"), (4, "The  red\nfox."), (5, "the red foxes"), (6, "bathe red fox"), (7, "red the fox a"), (8, None), (9, "x " * 300_000 + "the red fox"), (10, "")]
+    got = {tuple(r) for r in decontam.find_leaks(spark.createDataFrame(docs, TEXTS).coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 0), (3, 1, 0), (4, 2, 0), (7, 3, 0), (9, 2, 0)}
+
+
+def test_stages_on_awkward_rows(spark, sf_dir):
+    """Null ids and texts, repeated rows and ids, empty tables; further columns stay as they are."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    good = " ".join(f"the cat of number{i} and house{i} was in garden{i}." for i in range(12))
+    near, item = good + " at last", table(spark, sf_dir, "benchmark").where("text IS NOT NULL").orderBy("item_id").first()["text"]
+    rows = [(1, good), (1, good), (2, near), (None, good), (None, near), (None, "some " + item), (3, item), (4, None), (None, None), (5, ""), (6, "other " * 9), (6, "words " * 9)]
+    docs = spark.createDataFrame([(*r, None, None, None, "x") for r in rows], columns)
+    stages, size = dict(corpus_pipeline.STAGES), lambda df: sorted(map(str, (tuple(r)[:2] for r in df.collect())))
+    want = lambda keep: sorted(str(r) for r in keep)
+    out = {name: stage(spark, docs, sf_dir) for name, stage in stages.items()}
+    assert all(out[name].columns == docs.columns for name in list(stages)[:-1])
+    assert size(out["quality rules"]) == want([rows[k] for k in (0, 1, 2, 3, 4)])
+    got = size(out["MinHash near-dedup"])
+    assert str((1, good)) in got and got.count(str((1, good))) == 1 and not any(near in x for x in got) and str((None, good)) not in got
+    assert size(out["benchmark decontamination"]) == want(r for r in rows if item not in (r[1] or ""))
+    assert set(size(out["mixing sources"])) <= set(want(rows))
+    assert out["token ids"].count() == len(rows)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def paragraphs_brute(rows, least=paragraphs.LEAST_WORDS):
     places = sorted({(i, k, line) for i, text in rows for k, line in enumerate((text or "").split("\n")) if len(line.split()) >= least}, key=lambda p: (p[0], p[1]))
     label = near_brute([(n, p[2]) for n, p in enumerate(places)])
