@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import discard, keyed, restricted, stored
+from skirmish.llm.common import BROADCAST_IDS, discard, keyed, restricted, stored
 from skirmish.llm.texts import hashed_words, runs, word_hashes, word_places
 
 #: Words of a gram, and of the stretch of gram starts that elects one: any GRAM + STRETCH - 1 equal words elect the same one.
@@ -148,7 +148,10 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     discard(signs)
     place = F.struct("k", "at", "v")
     firsts = again.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("_last")).where("first != _last").select("key", "first")
-    hits = again.join(firsts, "key").where(place != F.col("first")).select("k", "v", F.struct("at", F.col("first.k").alias("a_k"), F.col("first.v").alias("a_v"), F.col("first.at").alias("a_at")).alias("hit"))
+    # written, so that the join deals a very common gram's places anew, over several tasks
+    firsts = stored(firsts)
+    known = F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts
+    hits = again.join(known, "key").where(place != F.col("first")).select("k", "v", F.struct("at", F.col("first.k").alias("a_k"), F.col("first.v").alias("a_v"), F.col("first.at").alias("a_at")).alias("hit"))
     hits = hits.groupBy("k", "v").agg(F.collect_set("hit").alias("hits")).select("k", "v", *[F.col(f"hits.{c}").alias(c) for c in ("at", "a_k", "a_v", "a_at")])
     spans = stored(hits.mapInPandas(_chain, "k long, v long, lo int, hi int, a_k long, a_v long, a_lo int, a_hi int"))
     discard(again)
