@@ -76,3 +76,23 @@ def months_before(ts: Column, months: int) -> Column:
     """The same day some months earlier, overflowing into the next month where that has no such day (31 May - 3 is 3 March)."""
     first = F.add_months(F.trunc(ts, "MM"), -months)
     return F.date_add(first, F.dayofmonth(ts) - 1)
+
+
+def instant_of(week: Column, slot: Column) -> Column:
+    """The UTC time of a ddd_HHMM slot in a YYYY-WW week."""
+    return F.timestamp_seconds(F.unix_timestamp(monday_of_week(week).cast("timestamp")) + slot_number_of(slot) * 1800)
+
+
+def with_offset(text: Column) -> Column:
+    """The time of ``yyyy-MM-dd HH:mm:ss +hhmm``; null if it isn't one."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z"))
+
+
+def duration_or(seconds: Column, default: float) -> Column:
+    """seconds, or the default where they are missing or not positive."""
+    return F.when(seconds > 0, seconds).otherwise(F.lit(default))
+
+
+def visible(base: Column, hidden: Column, extra: Column) -> Column:
+    """Slot numbers without the hidden and with the extra ones, in order."""
+    return F.array_sort(F.array_union(F.array_except(base, hidden), extra))

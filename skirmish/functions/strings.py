@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 # What the game's control glyphs 0 to 31 stand for.
-GLYPHS = "?????.?????????.[]0123456789.???"
+GLYPHS = "=?=??\u2022???? ???\u2022\u2022[]0123456789\u2022==="
 
 
 def to_ascii(name: Column) -> Column:
-    """A game name in plain characters: coloured ones (128 to 255) lose their colour, control glyphs get their meaning."""
+    """A game name in plain characters: coloured ones (128 to 255) lose their colour, control glyphs get their meaning.
+
+    Characters beyond 255 are no game characters and stay.
+    """
     source = "".join(map(chr, [*range(32), *range(128, 256)]))
     target = "".join([*GLYPHS, *(GLYPHS[c] if c < 32 else chr(c) for c in range(128))])
     return F.trim(F.translate(name, source, target))
@@ -85,3 +88,9 @@ def jaro_winkler(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
     """Jaro-Winkler similarity with a prefix weight of 0.1 at any Jaro value; run it after blocking only."""
     for a, b in batches:
         yield pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def shortened(parts: Column, n: int) -> Column:
+    """The first n parts, and how many more there are."""
+    more = F.size(parts) - n
+    return F.concat(F.array_join(F.slice(parts, 1, n), " "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise(F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,16 +13,78 @@ def conversation_documents(rows: DataFrame, by: str, order: list[str], author: s
     return said.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("document"))
 
 
-def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``at`` (from 0), ``term``: runs of letters and digits, lower-cased."""
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return docs.select(key, F.posexplode(found).alias("at", "term"))
+# Accented letters and what they are without the accent.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def tokens(text: Column, fold: bool = False) -> Column:
+    """Array of the runs of letters and digits, lower-cased; with fold without accents."""
+    low = F.lower(text)
+    return F.filter(F.split(F.translate(low, ACCENTED, PLAIN) if fold else low, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def terms(docs: DataFrame, key: str, text: str, fold: bool = False) -> DataFrame:
+    """``key``, ``at`` (from 0), ``term``."""
+    return docs.select(key, F.posexplode(tokens(F.col(text), fold)).alias("at", "term"))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The index: of each term and document how often and where. Store it where several queries follow."""
     return terms(docs, key, text).groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"))
 
 
+def _counted(docs: DataFrame, key: str, text: str, query: list[str]) -> tuple[list[str], DataFrame]:
+    """The query's terms, and of each document ``_len`` and the terms' counts: one projection, nothing exploded."""
+    wanted = sorted({t.lower() for t in query})
+    own = docs.select(key, tokens(F.col(text)).alias("_t"))
+    count = lambda t: F.size(F.filter("_t", lambda x: x == t)).cast("long")
+    return wanted, own.select(key, F.size("_t").alias("_len"), *[count(t).alias(f"_n{k}") for k, t in enumerate(wanted)])
+
+
+def match_all(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+    """Documents with all query terms, and how often these occur, without an index: one scan."""
+    wanted, own = _counted(docs, key, text, query)
+    hits = sum((F.col(f"_n{k}") for k in range(len(wanted))), F.lit(0))
+    for k in range(len(wanted)):
+        own = own.where(F.col(f"_n{k}") > 0)
+    return own.select(key, hits.cast("long").alias("hits"))
+
+
+def match_any(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+    """Documents with any of the terms; one that ends in * stands for all terms that begin so."""
+    plain = [t.lower() for t in query if not t.endswith("*")]
+    starts = [t[:-1].lower() for t in query if t.endswith("*")]
+    hit = lambda x: x.isin(plain) | (F.lit(False) if not starts else _any(x.startswith(p) for p in starts))
+    return docs.select(key, F.size(F.filter(tokens(F.col(text)), hit)).cast("long").alias("hits")).where("hits > 0")
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def bm25_scan(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75, top: int = 10) -> DataFrame:
+    """bm25() without an index: one scan for the corpus figures, one row, and one for the scores."""
+    wanted, own = _counted(docs, key, text, query)
+    there = range(len(wanted))
+    corpus = own.agg(F.count_if(F.col("_len") > 0).alias("_docs"), F.avg(F.when(F.col("_len") > 0, F.col("_len"))).alias("_mean"), *[F.count_if(F.col(f"_n{k}") > 0).alias(f"_df{k}") for k in there])
+    df, score = own, F.lit(0.0)
+    for k in there:
+        df = df.where(F.col(f"_n{k}") > 0)
+    df = df.join(F.broadcast(corpus))
+    for k in there:
+        idf = F.greatest(F.log((F.col("_docs") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5)), F.lit(1e-6))
+        score = score + idf * F.col(f"_n{k}") * (k1 + 1) / (F.col(f"_n{k}") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
+    return df.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(top)
+
+
+def conversation_of_best(rows: DataFrame, best: DataFrame, by: str) -> DataFrame:
+    """All rows of the best conversation. best: one of by's keys, of a ranked search."""
+    return rows.join(F.broadcast(best.select(by).limit(1)), by, "left_semi")
+
+
 def match(index: DataFrame, key: str, query: list[str]) -> DataFrame:
     """Documents with all query terms, and how often these occur."""
     wanted = sorted({t.lower() for t in query})

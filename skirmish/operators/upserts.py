@@ -41,3 +41,8 @@ def append_new(incoming: DataFrame, path: str, key: list[str], order: list[Colum
         return fresh.count()
     finally:
         fresh.unpersist()
+
+
+def updated(members: Column, added: Column, removed: Column) -> Column:
+    """A set with members added, then others removed."""
+    return F.array_except(F.array_union(members, added), removed)

@@ -100,12 +100,12 @@ def scoreboard_totals(spark, d):
 @query(f"""WITH {GAMES}, a AS (SELECT map, count(*) AS g, count_if((team_a = 't1' AND frags_a > frags_b) OR (team_b = 't1' AND frags_a < frags_b)) AS w FROM games WHERE (team_a = 't1' OR team_b = 't1') AND map <> 'N' GROUP BY map),
 b AS (SELECT map, count(*) AS g, count_if((team_a = 't2' AND frags_a > frags_b) OR (team_b = 't2' AND frags_a < frags_b)) AS w FROM games WHERE (team_a = 't2' OR team_b = 't2') AND map <> 'R' GROUP BY map),
 m AS (SELECT map, coalesce(a.g, 0)::BIGINT AS games_1, coalesce(a.w, 0)::BIGINT AS wins_1, coalesce(b.g, 0)::BIGINT AS games_2, coalesce(b.w, 0)::BIGINT AS wins_2 FROM a FULL JOIN b USING (map)),
-r AS (SELECT *, games_1 + games_2 AS games, floor(CASE WHEN games_1 > 0 THEN 100.0 * wins_1 / games_1 ELSE 0 END + 0.5)::INT AS rate_1, floor(CASE WHEN games_2 > 0 THEN 100.0 * wins_2 / games_2 ELSE 0 END + 0.5)::INT AS rate_2 FROM m)
-SELECT *, CASE WHEN rate_1 >= 60 AND rate_2 >= 60 THEN 'both strong' WHEN rate_1 - rate_2 >= 30 THEN 'first far ahead' WHEN rate_2 - rate_1 >= 30 THEN 'second far ahead' WHEN rate_1 - rate_2 >= 15 THEN 'first ahead'
-  WHEN rate_2 - rate_1 >= 15 THEN 'second ahead' WHEN rate_1 <= 40 AND rate_2 <= 40 THEN 'both weak' ELSE 'even' END AS note FROM r""")
+r AS (SELECT *, games_1 + games_2 AS games, CASE WHEN games_1 > 0 THEN floor(100.0 * wins_1 / games_1 + 0.5)::INT END AS rate_1, CASE WHEN games_2 > 0 THEN floor(100.0 * wins_2 / games_2 + 0.5)::INT END AS rate_2 FROM m)
+SELECT *, CASE WHEN games_1 = 0 THEN 't2 plays, t1 doesn''t' WHEN games_2 = 0 THEN 't1 plays, t2 doesn''t' WHEN least(rate_1, rate_2) >= 60 THEN 'Both teams strong' WHEN rate_1 - rate_2 >= 30 THEN 't1 dominates' WHEN rate_1 - rate_2 <= -30 THEN 't2 dominates'
+  WHEN rate_1 - rate_2 >= 15 THEN 't1 favors' WHEN rate_1 - rate_2 <= -15 THEN 't2 favors' WHEN greatest(rate_1, rate_2) < 40 THEN 'Neither team favors' ELSE 'Even' END AS note FROM r""")
 def map_merge_full_outer(spark, d):
     g = games(spark, d)
-    return matches.compare_maps(matches.maps(g.where("map <> 'N'"), ["t1"]), matches.maps(g.where("map <> 'R'"), ["t2"]))
+    return matches.compare_maps(matches.maps(g.where("map <> 'N'"), ["t1"]), matches.maps(g.where("map <> 'R'"), ["t2"]), ("t1", "t2"))
 
 
 @query(f"WITH {GAMES} SELECT map, count_if(duration > timelimit * 60 + 30)::BIGINT AS over, count_if(NOT duration > timelimit * 60 + 30)::BIGINT AS within FROM games GROUP BY map")
@@ -301,12 +301,21 @@ def rounding(spark, d):
     return table(spark, d, "events").select("event_id", half_up(F.col("value") - 100.5).alias("rounded"), half_up(F.col("value"), 3).alias("to_three"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, trim(coalesce(text, '')) AS text FROM conversations)
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' WHEN text = '' THEN 'reaction' WHEN regexp_matches(text, '^[!.][A-Za-z]') THEN 'command'
-  WHEN length(text) <= 5 AND NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'reaction' WHEN regexp_matches(text, '^(https?://\\S+\\s*)+$') THEN 'link' ELSE 'chat' END AS class FROM t""")
+#: Fixed lines that play what some conversations say, so that each rule of the classifier meets rows.
+LINES = [
+    "!help me", ".stats", "Learn this", "TTOP10 dm3", "", "gg", "GG", ":)", "lol", "lolol", "+1", "???", "\U0001f44d\U0001f3fd", "\U0001f44d\U0001f44d\U0001f44d",
+    "https://a.example/b", "https://a.example/b https://c.example", "see https://a.example", "my luck is out", "xd",
+]
+_LINES = "[" + ", ".join(f"'{x}'" for x in LINES) + "]"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, trim(CASE WHEN conv_id % 20 < {len(LINES)} THEN list_extract({_LINES}, (conv_id % 20 + 1)::INT) ELSE coalesce(text, '') END) AS text, turn % 2 = 1 AS files, conv_id % 7 = 3 AS bot FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' WHEN bot THEN 'bot' WHEN text = '' THEN CASE WHEN files THEN 'link' ELSE 'reaction' END
+  WHEN regexp_matches(text, '^[!.][A-Za-z0-9_]') OR regexp_matches(lower(text), '^(my luck|fishbot |learn |forget |suka|logan|ttop10|!ttop10|!top10)') THEN 'bot'
+  WHEN text IN (':)', 'gg', 'lol', '+1', 'xd', '\U0001f44d\U0001f3fd') THEN 'reaction' WHEN regexp_matches(text, '^https?://[^ ]+$') THEN 'link' ELSE 'chat' END AS class FROM t""")
 def classify_messages(spark, d):
-    no = F.lit(False)
-    return table(spark, d, "conversations").select("conv_id", "turn", chat.message_class(F.col("text"), F.col("role") == "system", no, no).alias("class"))
+    said = F.when(F.col("conv_id") % 20 < len(LINES), F.get(F.array(*map(F.lit, LINES)), (F.col("conv_id") % 20).cast("int"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", chat.message_class(said, F.col("role") == "system", F.col("conv_id") % 7 == 3, F.col("turn") % 2 == 1).alias("class"))
 
 
 @query("SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role)) AS document FROM conversations WHERE trim(text) <> '' GROUP BY 1")
@@ -327,7 +336,7 @@ def _index(spark, d):
 
 @query(f"WITH {_POSTINGS} SELECT doc_id, sum(tf)::BIGINT AS hits FROM p WHERE term IN {_TERMS} GROUP BY 1 HAVING count(*) = 3")
 def fts_match(spark, d):
-    return search.match(_index(spark, d), "doc_id", TERMS)
+    return search.match_all(table(spark, d, "documents"), "doc_id", "text", TERMS)
 
 
 @query(f"""WITH {_POSTINGS}, l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), c AS (SELECT count(*) AS n, avg(len) AS mean FROM l), h AS (SELECT * FROM p WHERE term IN {_TERMS}),
@@ -336,12 +345,14 @@ SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf *
 FROM h JOIN e USING (doc_id) JOIN df USING (term) JOIN l USING (doc_id), c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def bm25_topk(spark, d):
     """The ten best documents, the feature of a ranked search."""
-    return search.bm25(_index(spark, d), "doc_id", TERMS).withColumn("score", F.round("score", 9))
+    return search.bm25_scan(table(spark, d, "documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 9))
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS turns FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE contains(text, '?')) GROUP BY 1")
+@query("SELECT page_id // 3 AS session, count(*)::BIGINT AS rows FROM pages WHERE page_id // 3 IN (SELECT page_id // 3 FROM pages WHERE contains(url, '?')) GROUP BY 1")
 def question_sessions(spark, d):
-    return chat.with_questions(table(spark, d, "conversations"), "conv_id", "text").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    """Three pages play a session, their URLs what is said."""
+    rows = table(spark, d, "pages").select(F.floor(F.col("page_id") / 3).alias("session"), "url")
+    return chat.with_questions(rows, "session", "url").groupBy("session").agg(F.count("*").alias("rows"))
 
 
 @query("""WITH t AS (SELECT role, length(text) / 15.0 AS s, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM conversations)
@@ -417,13 +428,13 @@ def upsert_ignore(spark, d):
 
 
 @query(f"""WITH {AVAILABILITY}, a AS (SELECT week, slot, count(DISTINCT user) AS ours FROM availability WHERE team = 't1' GROUP BY ALL), b AS (SELECT week, slot, count(DISTINCT user) AS theirs FROM availability WHERE team = 't2' GROUP BY ALL),
-bl AS (SELECT DISTINCT week, slot + x AS slot FROM availability, (SELECT unnest([-1, 0, 1]) AS x) WHERE team = 't3' AND slot + x BETWEEN 0 AND 335)
+bl AS (SELECT DISTINCT week, slot + x AS slot FROM availability, (SELECT unnest([-1, 0, 1]) AS x) WHERE team = 't3' AND user = 3 AND slot + x BETWEEN 0 AND 335)
 SELECT week, slot, coalesce(ours, 0)::BIGINT AS ours, coalesce(theirs, 0)::BIGINT AS theirs FROM a FULL JOIN b USING (week, slot)
 WHERE least(4, coalesce(ours, 0) + 1) >= 2 AND coalesce(theirs, 0) >= 1 AND NOT EXISTS (SELECT 1 FROM bl WHERE bl.week = coalesce(a.week, b.week) AND bl.slot = coalesce(a.slot, b.slot))""")
 def slot_matching(spark, d):
-    """Slots that two teams share, with a stand-in, where neither has a match; the free slots of a third play the booked ones."""
+    """Slots that two teams share, with a stand-in, where neither has a match; the free slots of a user play the booked ones."""
     free = availability(spark, d)
-    booked = free.where("team = 't3'").select("week", "slot").distinct().select("week", "slot", F.lit("t1").alias("team_a"), F.lit("t2").alias("team_b"))
+    booked = free.where("user = 3").select("week", "slot").distinct().select("week", "slot", F.lit("t1").alias("team_a"), F.lit("t2").alias("team_b"))
     return schedule.viable_slots(free, F.lit("t1"), F.lit("t2"), schedule.blocked(booked), 2, 1, standin=True)
 
 

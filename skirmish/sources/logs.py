@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A header's date, after the name of the weekday.
-HEADER = r"^Session Start: \w{3} (\w{3}) +(\d{1,2}) \d{2}:\d{2}:\d{2} (\d{4})"
+#: A header's month, day, hour and year, after the name of the weekday.
+HEADER = r"^Session Start: \w{3} (\w{3}) +(\d{1,2}) (\d{2}):\d{2}:\d{2} (\d{4})"
 SAID, ACTED = r"^\[(\d{2}):(\d{2})\] <([^>]+)> ?(.*)$", r"^\[(\d{2}):(\d{2})\] \* (\S+) (.*)$"
 OTHER = r"^\[(\d{2}):(\d{2})\] (.*)$"
 
@@ -18,22 +18,23 @@ channel_id STRING, message_type INT, referenced_message_id STRING, created_at TI
 def read_text_logs(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``line``, ``created_at``, ``kind`` (message, action, system), ``author``, ``content`` of each timed line.
 
-    A header sets the date; a step from after 20 h to before 4 h is midnight. Lines before the first header have no
+    A header sets the date and the hour; a step from an hour after 20 to one before 4, the header's included, is midnight. Lines before the first header have no
     time and are left out. A file's lines are ordered in one task, files run in parallel.
     """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     month = F.regexp_extract("value", HEADER, 1)
-    day = F.concat_ws(" ", F.regexp_extract("value", HEADER, 3), month, F.lpad(F.regexp_extract("value", HEADER, 2), 2, "0"))
+    day = F.concat_ws(" ", F.regexp_extract("value", HEADER, 4), month, F.lpad(F.regexp_extract("value", HEADER, 2), 2, "0"))
     rows = whole.withColumns({
         "date": F.when(month != "", F.try_to_timestamp(day, F.lit("yyyy MMM dd")).cast("date")),
-        "hour": F.when(F.col("value").rlike(OTHER), F.regexp_extract("value", OTHER, 1).cast("int")),
+        "hour": F.when(month != "", F.regexp_extract("value", HEADER, 3).cast("int")).when(F.col("value").rlike(OTHER), F.regexp_extract("value", OTHER, 1).cast("int")),
+        "head": month != "",
     })
     in_file = W.partitionBy("file").orderBy("line")
     rows = rows.withColumn("part", F.count("date").over(in_file))
     in_part = W.partitionBy("file", "part").orderBy("line")
     rows = rows.withColumn("date", F.first("date", ignorenulls=True).over(in_part.rowsBetween(W.unboundedPreceding, 0))).where("part > 0 AND hour IS NOT NULL")
     turned = (F.lag("hour").over(in_part) > 20) & (F.col("hour") < 4)
-    rows = rows.withColumn("days", F.sum(F.coalesce(turned, F.lit(False)).cast("int")).over(in_part).cast("int"))
+    rows = rows.withColumn("days", F.sum(F.coalesce(turned, F.lit(False)).cast("int")).over(in_part).cast("int")).where("NOT head")
     seconds = F.col("hour") * 3600 + F.regexp_extract("value", OTHER, 2).cast("int") * 60
     at = F.timestamp_seconds(F.unix_timestamp(F.date_add("date", F.col("days")).cast("timestamp")) + seconds)
     said, acted = F.col("value").rlike(SAID), F.col("value").rlike(ACTED)

@@ -19,6 +19,12 @@ def test_text_logs(spark, tmp_path):
     assert got == [("2002-03-02 23:59:00", "message", "ann", "hi"), ("2002-03-03 00:01:00", "action", "bob", "waves"), ("2002-03-03 00:02:00", "system", None, "joined"), ("2002-03-04 09:05:00", "message", "ann", "")]
 
 
+def test_a_header_before_midnight_sets_the_hour(spark, tmp_path):
+    (tmp_path / "a.log").write_text("Session Start: Sat Mar 02 23:50:00 2002\n[00:02] <ann> late\n[00:03] <bob> later\n[23:59] <ann> z\n[00:00] <ann> y\n")
+    got = [str(r["created_at"]) for r in logs.read_text_logs(spark, str(tmp_path)).orderBy("line").collect()]
+    assert got == ["2002-03-03 00:02:00", "2002-03-03 00:03:00", "2002-03-03 23:59:00", "2002-03-04 00:00:00"]
+
+
 def test_chat_exports(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"id": "1", "message_type": 0, "content": "a"}, {"id": "2", "message_type": 7}, {"id": "3"}]))
     got = {r["id"]: r["kind"] for r in logs.read_chat_exports(spark, str(tmp_path), {0: "message", 19: "reply"}).collect()}
