@@ -294,7 +294,8 @@ def repeated_runs(distinct: DataFrame) -> DataFrame:
     """``g``, ``c1``, ``c2``, ``a`` and ``b``: the strings' windows, from start a to start b, that other strings of their gram hold
     too. distinct: g, c1, c2, d, own; no string twice."""
     key = ["g", "c1", "c2"]
-    sizes = distinct.groupBy("g").agg(F.count("*").alias("_n"))
+    # written, so that the joins deal the strings anew and may split a gram of very many
+    sizes = stored(distinct.groupBy("g").agg(F.count("*").alias("_n")))
     sized = lambda where: distinct.join(sizes.where(where), "g")
     small = sized(f"_n BETWEEN 2 AND {SHARD}").select(*key, "d", "own").repartition("g").sortWithinPartitions("g", "c1", "c2").mapInPandas(_shards, _OUT)
     shard = F.pmod("c1", F.ceil(F.col("_n") / SHARD)).cast("int").alias("shard")
