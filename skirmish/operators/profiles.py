@@ -95,7 +95,9 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int
 
 
 def residuals(rows: DataFrame, x: str, within: str) -> DataFrame:
-    """x less its group's mean, and as z-score over the group (0 without variance)."""
-    own = W.partitionBy(within)
-    sd = F.stddev_pop(x).over(own)
-    return rows.withColumns({"residual": F.col(x) - F.avg(x).over(own), "z": F.when(sd > 0, (F.col(x) - F.avg(x).over(own)) / sd).otherwise(F.lit(0.0))})
+    """x less its group's mean, and as z-score over the group (0 without variance). Two figures a group, joined back: no
+    group is gathered in one task."""
+    own = rows.groupBy(F.col(within).alias("_g")).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"))
+    df = rows.join(own, F.col(within).eqNullSafe(F.col("_g")))
+    off = F.col(x) - F.col("_mean")
+    return df.withColumns({"residual": off, "z": F.when(F.col("_sd") > 0, off / F.col("_sd")).otherwise(F.lit(0.0))}).drop("_g", "_mean", "_sd")
