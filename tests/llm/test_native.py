@@ -48,6 +48,22 @@ def test_no_documents(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+def test_mixture_of_null_and_repeated_ids(spark, same_as_sql, tmp_path):
+    rows = [(None, "a b c", "en", "x", 1), (None, "d e", "en", "x", 1), (3, "f g", "en", "x", 1), (3, "f g", "en", "x", 1), (4, "h", None, None, None), (5, None, "de", "y", 1), (6, "i j k l", "de", "y", 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    own = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"})
+    mixed = queries.op2_mix_sources(spark, str(tmp_path))
+    got = mixed.where("doc_id = 3").groupBy("mix_epoch").count().collect()
+    assert all(r["count"] == 2 for r in got)  # rows that repeat an id are taken or left together
+    same_as_sql(mixed, queries.ORACLES["op2_mix_sources"], documents=own)
+
+
+def test_no_conversations(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (only,) = queries.op6_chat_format(spark, str(tmp_path)).collect()
+    assert (only["conv_id"], only["n_turns"], only["loss_chars"]) == (-1, 2, len(queries.CONTROL_TEXT))
+
+
 def test_quality_keeps_columns_and_rows_with_clashing_names(spark):
     text = " ".join(f"the cat of number{i} and house{i} was in garden{i}." for i in range(12))
     docs = spark.createDataFrame([(1, text, "mine", 5), (1, text, "mine", 5), (2, "short", "mine", 5), (None, text, "mine", 5)], "doc_id long, text string, kept string, n_words int")
