@@ -17,42 +17,68 @@ def averages(rows: DataFrame, key: str, measures: dict[str, Column], least_games
     return out.where(F.col("games") >= least_games)
 
 
-def percentile_points(rows: DataFrame, measures: list[str], points: list[int]) -> DataFrame:
-    """``measure``, ``point``, ``value``: the value at index min(floor(n p / 100), n - 1) of the sorted non-null ones.
+def running_counts(counted: DataFrame, value: str, count: str, by: list[str] | None = None, cells: int = 256) -> DataFrame:
+    """counted with ``_end``, the sum of count up to and with this row's value, and ``_n``, that of all rows.
 
-    A distributed sort by measure gives the places; no list is gathered.
+    counted: one row per value (not null), within by if given. Values are dealt to cells by approximate percentiles, sums run
+    within a cell, and the table of the cells' sums, cells rows for each of by, is small enough to go to every task.
     """
+    by = by or []
+    points = F.array(*[F.lit(k / cells) for k in range(1, cells)])
+    edges = counted.groupBy(*by).agg(F.percentile_approx(value, points, 10_000).alias("_edges"))
+    dealt = counted.join(F.broadcast(edges), by) if by else counted.join(F.broadcast(edges))
+    dealt = dealt.withColumn("_cell", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    sums = dealt.groupBy(*by, "_cell").agg(F.sum(count).alias("_sum"))
+    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*by, "_cell", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy(*by)).alias("_n"))
+    placed = dealt.join(F.broadcast(offsets), [*by, "_cell"])
+    upto = F.col("_before") + F.sum(count).over(W.partitionBy(*by, "_cell").orderBy(value))
+    return placed.withColumn("_end", upto).drop("_cell", "_before")
+
+
+def _counts_up_to(rows: DataFrame, x: str) -> DataFrame:
+    """``_v``, ``_c``, ``_end``, ``_n``: each value of x, its rows, the rows up to it, and all that have a value."""
+    counted = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_c"))
+    return running_counts(counted, "_v", "_c")
+
+
+def percentile_points(rows: DataFrame, measures: list[str], points: list[int]) -> DataFrame:
+    """``measure``, ``point``, ``value``: the value at index min(floor(n p / 100), n - 1) of the sorted non-null ones."""
     long = rows.select(F.explode(F.map_entries(F.create_map(*[x for m in measures for x in (F.lit(m), F.col(m).cast("double"))]))).alias("e")).select("e.key", "e.value").where("value IS NOT NULL")
-    # equal values are one row, so that the window runs over distinct values
-    counted = long.groupBy("key", "value").agg(F.count("*").alias("_c"))
-    own = W.partitionBy("key")
-    placed = counted.withColumns({"_end": F.sum("_c").over(own.orderBy("value")), "_n": F.sum("_c").over(own)})
+    # equal values are one row
+    placed = running_counts(long.groupBy("key", "value").agg(F.count("*").alias("_c")), "value", "_c", ["key"])
     wanted = placed.withColumn("point", F.explode(F.array(*[F.lit(p) for p in points])))
     at = F.least(F.floor(F.col("_n") * F.col("point") / 100), F.col("_n") - 1)
     return wanted.where((at < F.col("_end")) & (at >= F.col("_end") - F.col("_c"))).select(F.col("key").alias("measure"), "point", "value")
 
 
-def percentile_rank(x: Column, within: list[str] | None = None) -> Column:
-    """100 * share of rows that are not above x; null gives 50, and doesn't count."""
-    own = W.partitionBy(*(within or []), x.isNull()).orderBy(x)
-    return F.when(x.isNull(), 50.0).otherwise(100.0 * F.cume_dist().over(own))
+def percentile_ranks(rows: DataFrame, measures: list[str]) -> DataFrame:
+    """rows with ``<measure>_rank``: 100 * share of rows that are not above its value; null gives 50, and doesn't count."""
+    for m in measures:
+        ranks = _counts_up_to(rows.select(m), m).select("_v", (100.0 * (F.col("_end") / F.col("_n"))).alias(f"{m}_rank"))
+        rows = rows.join(ranks, F.col(m) == F.col("_v"), "left").drop("_v").fillna(50.0, [f"{m}_rank"])
+    return rows
 
 
 def composite(rows: DataFrame, weights: dict[str, float], inverse: dict[str, float], key: str) -> DataFrame:
-    """Weighted sum of percentile ranks (100 less the rank for inverse ones) to one digit, and the place."""
-    ranks = {f"{m}_rank": percentile_rank(F.col(m)) for m in (*weights, *inverse)}
+    """Weighted sum of percentile ranks (100 less the rank for inverse ones) to one digit, and the place.
+
+    Rows of one rating are put in order by key, a task for each rating.
+    """
     score = F.lit(0.0)
     for m, w in weights.items():
         score = score + F.col(f"{m}_rank") * w
     for m, w in inverse.items():
         score = score + (100 - F.col(f"{m}_rank")) * w
-    df = rows.withColumns(ranks).withColumn("rating", half_up(score, 1))
-    return df.withColumn("place", F.row_number().over(W.orderBy(F.desc("rating"), key)).cast("long"))
+    df = percentile_ranks(rows, [*weights, *inverse]).withColumn("rating", half_up(score, 1))
+    above = _counts_up_to(df.select("rating"), "rating").select("_v", (F.col("_n") - F.col("_end")).alias("_above"))
+    place = F.col("_above") + F.row_number().over(W.partitionBy("rating").orderBy(key))
+    return df.join(above, F.col("rating") == F.col("_v")).withColumn("place", place.cast("long")).drop("_v", "_above")
 
 
 def archetype(rows: DataFrame, high: list[str], low: list[str], key: str, top: int = 5) -> DataFrame:
     """The first rows, by the sum of high ranks, with ranks of 75 or more in all high and 35 or less in all low measures."""
-    df = rows.withColumns({f"{m}_rank": percentile_rank(F.col(m)) for m in (*high, *low)})
+    df = percentile_ranks(rows, [*high, *low])
     for m in high:
         df = df.where(F.col(f"{m}_rank") >= 75)
     for m in low:
@@ -81,9 +107,15 @@ def strength(r: Column) -> Column:
 
 
 def quartile_means(rows: DataFrame, by: str, measures: list[str], key: str) -> DataFrame:
-    """Means per quartile of by, cut at floor(n / 4), floor(n / 2), floor(3 n / 4); a missing measure counts as 0."""
-    n, place = F.count("*").over(W.partitionBy()), F.row_number().over(W.orderBy(by, key)) - 1
-    df = rows.withColumns({"_n": n, "_p": place})
+    """Means per quartile of by, cut at floor(n / 4), floor(n / 2), floor(3 n / 4); a missing measure counts as 0.
+
+    Rows without by stand before all others; rows of one value are put in order by key, a task for each value.
+    """
+    known = _counts_up_to(rows.select(by), by).select("_v", (F.col("_end") - F.col("_c")).alias("_first"))
+    counts = rows.agg(F.count("*").alias("_n"), F.count_if(F.col(by).isNull()).alias("_without"))
+    df = rows.join(known, F.col(by) == F.col("_v"), "left").join(F.broadcast(counts))
+    first = F.when(F.col(by).isNull(), 0).otherwise(F.col("_first") + F.col("_without"))
+    df = df.withColumn("_p", first + F.row_number().over(W.partitionBy(by).orderBy(key)) - 1)
     quartile = F.lit(1)
     for k in (1, 2, 3):
         quartile = quartile + (F.col("_p") >= F.floor(F.col("_n") * k / 4)).cast("int")
