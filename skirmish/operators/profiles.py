@@ -36,49 +36,58 @@ def running_counts(counted: DataFrame, value: str, count: str, by: list[str] | N
     return placed.withColumn("_end", upto).drop("_cell", "_before")
 
 
-def _counts_up_to(rows: DataFrame, x: str) -> DataFrame:
-    """``_v``, ``_c``, ``_end``, ``_n``: each value of x, its rows, the rows up to it, and all that have a value."""
-    counted = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_c"))
-    return running_counts(counted, "_v", "_c")
+def _long(rows: DataFrame, measures: list[str], *keep: str) -> DataFrame:
+    """keep, ``measure`` and ``value``, a row for each measure that isn't null."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+    return rows.select(*keep, F.inline(pairs)).where("value IS NOT NULL")
+
+
+def _placed(long: DataFrame) -> DataFrame:
+    """running_counts() of the measures' values; equal values are one row, with their number ``_c``."""
+    return running_counts(long.groupBy("measure", "value").agg(F.count("*").alias("_c")), "value", "_c", ["measure"])
 
 
 def percentile_points(rows: DataFrame, measures: list[str], points: list[int]) -> DataFrame:
     """``measure``, ``point``, ``value``: the value at index min(floor(n p / 100), n - 1) of the sorted non-null ones."""
-    long = rows.select(F.explode(F.map_entries(F.create_map(*[x for m in measures for x in (F.lit(m), F.col(m).cast("double"))]))).alias("e")).select("e.key", "e.value").where("value IS NOT NULL")
-    # equal values are one row
-    placed = running_counts(long.groupBy("key", "value").agg(F.count("*").alias("_c")), "value", "_c", ["key"])
-    wanted = placed.withColumn("point", F.explode(F.array(*[F.lit(p) for p in points])))
+    wanted = _placed(_long(rows, measures)).withColumn("point", F.explode(F.array(*[F.lit(p) for p in points])))
     at = F.least(F.floor(F.col("_n") * F.col("point") / 100), F.col("_n") - 1)
-    return wanted.where((at < F.col("_end")) & (at >= F.col("_end") - F.col("_c"))).select(F.col("key").alias("measure"), "point", "value")
+    return wanted.where((at < F.col("_end")) & (at >= F.col("_end") - F.col("_c"))).select("measure", "point", "value")
 
 
-def percentile_ranks(rows: DataFrame, measures: list[str]) -> DataFrame:
-    """rows with ``<measure>_rank``: 100 * share of rows that are not above its value; null gives 50, and doesn't count."""
-    for m in measures:
-        ranks = _counts_up_to(rows.select(m), m).select("_v", (100.0 * (F.col("_end") / F.col("_n"))).alias(f"{m}_rank"))
-        rows = rows.join(ranks, F.col(m) == F.col("_v"), "left").drop("_v").fillna(50.0, [f"{m}_rank"])
-    return rows
+def percentile_ranks(rows: DataFrame, measures: list[str], key: str) -> DataFrame:
+    """rows with ``<measure>_rank``: 100 * share of rows that are not above its value; null gives 50, and doesn't count.
+
+    key tells the rows apart. rows are read five times, whatever the number of measures: store them first where they are dear.
+    """
+    long = _long(rows, measures, key)
+    rank = 100.0 * (F.col("_end") / F.col("_n"))
+    each = [F.max(F.when(F.col("measure") == m, rank)).alias(f"{m}_rank") for m in measures]
+    ranks = long.join(_placed(long), ["measure", "value"]).groupBy(key).agg(*each)
+    return rows.join(ranks, key, "left").fillna(50.0, [f"{m}_rank" for m in measures])
 
 
 def composite(rows: DataFrame, weights: dict[str, float], inverse: dict[str, float], key: str) -> DataFrame:
     """Weighted sum of percentile ranks (100 less the rank for inverse ones) to one digit, and the place.
 
-    Rows of one rating are put in order by key, a task for each rating.
+    Ratings of one digit are few, so that their counts are one small table, whose window gives each rating's first place;
+    rows of one rating are put in order by key, a task for each rating. The ranks are made twice: see percentile_ranks().
     """
     score = F.lit(0.0)
     for m, w in weights.items():
         score = score + F.col(f"{m}_rank") * w
     for m, w in inverse.items():
         score = score + (100 - F.col(f"{m}_rank")) * w
-    df = percentile_ranks(rows, [*weights, *inverse]).withColumn("rating", half_up(score, 1))
-    above = _counts_up_to(df.select("rating"), "rating").select("_v", (F.col("_n") - F.col("_end")).alias("_above"))
+    df = percentile_ranks(rows, [*weights, *inverse], key).withColumn("rating", half_up(score, 1))
+    counts = df.groupBy("rating").agg(F.count("*").alias("_c"))
+    above = F.sum("_c").over(W.orderBy(F.desc("rating")).rowsBetween(W.unboundedPreceding, -1))
+    first = counts.select("rating", F.coalesce(above, F.lit(0)).alias("_above"))
     place = F.col("_above") + F.row_number().over(W.partitionBy("rating").orderBy(key))
-    return df.join(above, F.col("rating") == F.col("_v")).withColumn("place", place.cast("long")).drop("_v", "_above")
+    return df.join(F.broadcast(first), "rating").withColumn("place", place.cast("long")).drop("_above")
 
 
 def archetype(rows: DataFrame, high: list[str], low: list[str], key: str, top: int = 5) -> DataFrame:
     """The first rows, by the sum of high ranks, with ranks of 75 or more in all high and 35 or less in all low measures."""
-    df = percentile_ranks(rows, [*high, *low])
+    df = percentile_ranks(rows, [*high, *low], key)
     for m in high:
         df = df.where(F.col(f"{m}_rank") >= 75)
     for m in low:
@@ -111,9 +120,9 @@ def quartile_means(rows: DataFrame, by: str, measures: list[str], key: str) -> D
 
     Rows without by stand before all others; rows of one value are put in order by key, a task for each value.
     """
-    known = _counts_up_to(rows.select(by), by).select("_v", (F.col("_end") - F.col("_c")).alias("_first"))
+    values = _placed(_long(rows, [by])).select(F.col("value").alias("_v"), (F.col("_end") - F.col("_c")).alias("_first"))
     counts = rows.agg(F.count("*").alias("_n"), F.count_if(F.col(by).isNull()).alias("_without"))
-    df = rows.join(known, F.col(by) == F.col("_v"), "left").join(F.broadcast(counts))
+    df = rows.join(values, F.col(by).cast("double") == F.col("_v"), "left").join(F.broadcast(counts))
     first = F.when(F.col(by).isNull(), 0).otherwise(F.col("_first") + F.col("_without"))
     df = df.withColumn("_p", first + F.row_number().over(W.partitionBy(by).orderBy(key)) - 1)
     quartile = F.lit(1)

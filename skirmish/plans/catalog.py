@@ -145,7 +145,7 @@ _RANK = "round(100.0 * cume_dist() OVER (ORDER BY {0}), 6)"
 
 @query(f"WITH {PLAYERS}, {_AVG} SELECT name, {_RANK.format('kills')} AS kills_rank, {_RANK.format('eff')} AS eff_rank FROM averages")
 def percentile_rank(spark, d):
-    return profiles.percentile_ranks(_averages(spark, d), ["kills", "eff"]).select("name", *[F.round(f"{m}_rank", 6).alias(f"{m}_rank") for m in ("kills", "eff")])
+    return profiles.percentile_ranks(_averages(spark, d), ["kills", "eff"], "name").select("name", *[F.round(f"{m}_rank", 6).alias(f"{m}_rank") for m in ("kills", "eff")])
 
 
 @query(f"""WITH {PLAYERS}, {_AVG}, r AS (SELECT name, 100.0 * cume_dist() OVER (ORDER BY kills) AS k, 100.0 * cume_dist() OVER (ORDER BY eff) AS e, 100.0 * cume_dist() OVER (ORDER BY damage) AS m FROM averages),

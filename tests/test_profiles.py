@@ -23,7 +23,7 @@ def _frame(spark, rows):
 
 
 def test_ranks_are_shares_of_rows_not_above(spark, rows):
-    found = profiles.percentile_ranks(_frame(spark, rows), ["x"]).toPandas().set_index("name").x_rank
+    found = profiles.percentile_ranks(_frame(spark, rows), ["x"], "name").toPandas().set_index("name").x_rank
     wanted = rows.set_index("name").x.astype(float).rank(method="max", pct=True).mul(100).fillna(50.0)
     pd.testing.assert_series_equal(found.sort_index(), wanted.sort_index(), check_names=False)
 
@@ -51,6 +51,6 @@ def test_quartiles_are_cut_by_place(spark, rows):
 
 def test_without_rows(spark, rows):
     none = _frame(spark, rows).where("false")
-    assert profiles.percentile_ranks(none, ["x"]).count() == 0
+    assert profiles.percentile_ranks(none, ["x"], "name").count() == 0
     assert profiles.composite(none, {"x": 1.0}, {}, "name").count() == 0
     assert profiles.percentile_points(none, ["x"], [50]).count() == 0
