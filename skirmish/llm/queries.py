@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import chat, decontam, lines, minhash, mixing, paragraphs, passages, quality, suffix, tokens, urls
+from skirmish.llm import chat, decontam, lines, minhash, mixing, paragraphs, passages, prefixes, quality, suffix, tokens, urls
 from skirmish.llm.common import scratch, stored, table, words
 
 
@@ -262,6 +262,48 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Fixed values of op12's contract: conversations of a hundred share the first ones' beginnings, of fewer turns than this.
+TRIE_BLOCK, TRIE_TURNS = 100, 6
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, rebuilt with beginnings of the first one of their hundred."""
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % TRIE_TURNS
+    base = F.col("conv_id") - F.col("conv_id") % TRIE_BLOCK
+    turns = prefixes.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefixes.prefix_trie(*prefixes.spliced(turns, base, taken, TRIE_TURNS - 1))
+
+
+OP12_SQL = f"""
+WITH crcs AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab),
+hs AS (
+  SELECT c, c - c % {TRIE_BLOCK} AS b,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(tab[(xor(a, x) & 255) + 1], a >> 8)), 4294967295::BIGINT) % {TRIE_TURNS} AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), crcs),
+t AS (
+  SELECT conv_id AS c, m, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS p
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+r AS (
+  SELECT hs.c, 0 AS half, p, m, n FROM hs JOIN t ON t.c = b WHERE p <= h
+  UNION ALL SELECT hs.c, 1, p, m, n FROM hs JOIN t ON t.c = hs.c WHERE p > h),
+d AS (SELECT c, n, row_number() OVER w AS depth, string_agg(m, '') OVER w AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY half, p ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT c, n, depth, k FROM d UNION ALL SELECT c, 0, 0, '' FROM hs),
+size AS (SELECT c, max(depth) AS last FROM members GROUP BY c),
+node AS (
+  SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = last), '')) AS ends_sha256
+  FROM members JOIN size USING (c) GROUP BY depth, k),
+child AS (SELECT left(k, 32 * (depth - 1)::INT) AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (k)),
+sums AS (
+  SELECT left(k, 32 * up::INT) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT k, saved, n_children, unnest(range(0, depth + 1)) AS up FROM full_node) GROUP BY 1)
+SELECT a.conv_id::BIGINT AS conv_id, a.depth::BIGINT AS depth, u.conv_id::BIGINT AS parent_conv_id, a.n_convs::BIGINT AS n_convs, a.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM full_node a JOIN sums USING (k) LEFT JOIN node u ON a.depth > 0 AND u.k = left(a.k, 32 * (a.depth - 1)::INT)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -273,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -282,4 +325,5 @@ ORACLES: dict[str, str] = {
     "op4_minhash_dedup": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_chat_format": _chat_sql(),
+    "op12_prefix_trie": OP12_SQL,
 }
