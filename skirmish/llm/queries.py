@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import chat, decontam, lines, minhash, mixing, paragraphs, passages, prefixes, quality, suffix, tokens, urls
+from skirmish.llm import chat, decontam, lines, minhash, mixing, ngrams, paragraphs, passages, prefixes, quality, suffix, tokens, urls
 from skirmish.llm.common import scratch, stored, table, words
 
 
@@ -304,6 +304,28 @@ FROM full_node a JOIN sums USING (k) LEFT JOIN node u ON a.depth > 0 AND u.k = l
 """
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document, on shingles of three words at 90 %."""
+    return ngrams.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT x, b FROM reach JOIN both_ways ON y = a),
+comp AS (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -316,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -326,4 +349,5 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op6_chat_format": _chat_sql(),
     "op12_prefix_trie": OP12_SQL,
+    "op13_ngram_join": OP13_SQL,
 }
