@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import chat, decontam, lines, minhash, mixing, ngrams, paragraphs, passages, prefixes, quality, suffix, tokens, urls
+from skirmish.llm import chat, decontam, lines, minhash, mixing, negatives, ngrams, paragraphs, passages, prefixes, quality, suffix, tokens, urls
 from skirmish.llm.common import scratch, stored, table, words
 
 
@@ -262,6 +262,34 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Fixed values of op11's contract: every so many ids an anchor, every so many another label of so many, and the scale of components.
+ANCHORS, WRONG, LABELS, SCALE = 50, 7, 10, 256
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every anchor."""
+    rows = negatives.quantized(table(spark, sf_dir, "embeddings"), scale=SCALE)
+    label = F.when(F.col("vec_id") % WRONG == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), f"vec_id % {ANCHORS} = 0")
+
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % {WRONG} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid AS aid, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {ANCHORS} = 0),
+p AS (
+  SELECT aid, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY aid ORDER BY score DESC, other_id) AS n FROM s WHERE same QUALIFY n <= 5),
+h AS (
+  SELECT p.*, s.other_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.aid, p.n ORDER BY s.score DESC, s.other_id) AS rank
+  FROM p JOIN s ON p.aid = s.aid AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM h
+"""
+
 #: Fixed values of op12's contract: conversations of a hundred share the first ones' beginnings, of fewer turns than this.
 TRIE_BLOCK, TRIE_TURNS = 100, 6
 
@@ -337,6 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_ngram_join": op13_ngram_join,
 }
@@ -348,6 +377,7 @@ ORACLES: dict[str, str] = {
     "op4_minhash_dedup": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_chat_format": _chat_sql(),
+    "op11_hard_negatives": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
     "op13_ngram_join": OP13_SQL,
 }
