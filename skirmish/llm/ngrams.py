@@ -8,9 +8,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import BROADCAST_IDS, discard, restricted, stored
+from skirmish.llm.common import discard, restricted, stored
 from skirmish.llm.components import components
 from skirmish.llm.minhash import BLOCK, BLOCK_SHINGLES, Cells, _mix, cells, fingerprints, shingle_sets
 from skirmish.llm.texts import hashed_words
@@ -83,30 +84,61 @@ def part_keys(hashes: np.ndarray, ends: np.ndarray, percent: int, seed: int = 0)
     return keys[order].view(np.int64), np.bincount(of, minlength=len(n))
 
 
-SIGNED = "n_shingles long, hi long, lo long, keys array<long>"
+SIGNED = "n_shingles long, hi long, lo long"
 
 
-def _sign(size: int, percent: int):
+def _sign(size: int, percent: int | None):
+    """Sizes and fingerprints of the sets, and with a percent their keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, w, n in hashed_words(batch.column("text")):
                 hashes, ends = shingle_sets(w, n, size)
-                keys, count = part_keys(hashes, ends, percent)
                 prints = fingerprints(hashes, ends)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys))
-                columns = [batch.column("doc_id")[own.start : own.stop], np.diff(ends, prepend=0), prints[:, 0].copy(), prints[:, 1].copy()]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["doc_id", "n_shingles", "hi", "lo", "keys"])
+                columns = [pa.array(x) for x in (batch.column("doc_id")[own.start : own.stop], np.diff(ends, prepend=0), prints[:, 0].copy(), prints[:, 1].copy())]
+                if percent is not None:
+                    keys, count = part_keys(hashes, ends, percent)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys)))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "hi", "lo", "keys"][: len(columns)])
 
     return run
 
 
+def _sorted_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The batch's keys and their ids, in order, and where a key is that of the row before."""
+    lists = batch.column("keys")
+    key = lists.flatten().to_numpy()
+    ids = np.repeat(batch.column("id").to_numpy(), np.diff(np.asarray(lists.offsets)))
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    return key, ids, np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, np.bool_)
+
+
+def _met_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids that share a key with another one of their batch, each with the one before it."""
+    for batch in batches:
+        _, ids, again = _sorted_keys(batch)
+        pairs = np.unique(np.stack([ids[again], ids[np.flatnonzero(again) - 1]], axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], names=["a", "b"])
+
+
+def _to_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One id of each key of a batch."""
+    for batch in batches:
+        key, ids, again = _sorted_keys(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(key[~again]), pa.array(ids[~again])], names=["key", "id"])
+
+
 def _part_again(size: int, percent: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            group = batch.column("key").to_numpy().astype(np.uint64)
             for own, w, n in hashed_words(batch.column("text")):
                 keys, count = part_keys(*shingle_sets(w, n, size), percent, seed)
-                of = np.repeat(np.arange(own.start, own.stop), count)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), batch.column("id").take(pa.array(of)), pa.array(keys)], names=["key", "id", "part"])
+                keys = _mix(keys.view(np.uint64) ^ _mix(np.repeat(group[own], count) + _ODD)).view(np.int64)  # only within a group
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([batch.column("id")[own.start : own.stop], lists], names=["id", "keys"])
 
     return run
 
@@ -202,11 +234,16 @@ def _join(size: int, percent: int):
     return run
 
 
-def _starred(parts: DataFrame, by: list[str]) -> DataFrame:
-    """a, b: each id with the least one of each of its parts, where they differ. parts: by, id."""
-    least = stored(parts.groupBy(*by).agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first != _last").select(*by, "_first"))
-    known = F.broadcast(least) if least.count() <= BROADCAST_IDS else least
-    return stored(parts.join(known, by).where("id != _first").select(F.col("id").alias("a"), F.col("_first").alias("b")).distinct())
+def _chained(keys: DataFrame) -> DataFrame:
+    """a, b: ids that share a key, so that those of one key hang together. keys: id, keys.
+
+    Those of a batch are linked there, and one id of each key goes on, so that a very common key has a row per batch. The
+    keys are shuffled once.
+    """
+    there = keys.mapInArrow(_to_meet, "key long, id long")
+    before = F.lag("id").over(W.partitionBy("key").orderBy("id"))
+    pairs = there.select(F.col("id").alias("a"), before.alias("b")).where("b IS NOT NULL AND a != b")
+    return stored(pairs.union(keys.mapInArrow(_met_here, "a long, b long")).distinct())
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -226,7 +263,7 @@ def joined(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
     sets that shared a key by chance, and then blocks of the strays meet blocks of all others: no link is lost.
     """
     sized = keys.select("id", "n_shingles")
-    groups = stored(components(_starred(keys.select("id", F.explode("keys").alias("key")), ["key"])).select(F.col("label").alias("key"), "id"))
+    groups = stored(components(_chained(keys.select("id", "keys"))).select(F.col("label").alias("key"), "id"))
     members = groups.join(sized, "id")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     sizes = stored(members.groupBy("key").agg(blocks.alias("_blocks")))
@@ -241,20 +278,21 @@ def joined(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
     if not large.limit(1).count():
         return labels
     name = F.coalesce("label", "id").alias("label")
-    several = lambda parted: parted.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_n")).where("_a != _b")
+    # all but the sets of a group's most frequent label
+    strays = lambda parted: parted.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") - F.max("n")).alias("_strays")).where("_strays > 0")
     parted = stored(restricted(groups, large).join(labels, "id", "left").select("key", "id", name))
     for seed in range(1, REFINED + 1):
-        wide = stored(several(parted).where(F.col("_n") > BLOCK).select("key"))
+        wide = stored(strays(parted).where(F.col("_strays") > BLOCK).select("key"))
         if not wide.limit(1).count():
             break
         own = restricted(parted, wide)
-        again = stored(own.join(texts(stored(own.select("id"))), "id").select("key", "id", "text").mapInArrow(_part_again(size, percent, seed), "key long, id long, part long"))
+        again = stored(own.join(texts(stored(own.select("id"))), "id").select("key", "id", "text").mapInArrow(_part_again(size, percent, seed), "id long, keys array<long>"))
         # what shares no key with another has no link either
-        finer = components(_starred(again, ["key", "part"])).select(F.col("label").alias("_key"), "id")
+        finer = components(_chained(again)).select(F.col("label").alias("_key"), "id")
         finer = own.join(finer, "id").select(F.col("_key").alias("key"), "id", "label")
         parted = stored(finer.union(restricted(parted, wide, outside=True)))
         discard(again)
-    parted = restricted(parted, stored(several(parted).select("key")))
+    parted = restricted(parted, stored(strays(parted).select("key")))
     if parted.limit(1).count():
         more = cells(parted, texts(stored(parted.select("id").distinct())).join(sized, "id"))
         labels = stored(components(links.union(stored(more.mapInArrow(_join(size, percent), "a long, b long")))))
@@ -274,12 +312,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, text:
     empty table. Texts are hashed whole, whatever their length; shingles are told by 64-bit hashes.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signs = stored(plain.mapInArrow(_sign(size, percent), f"doc_id long, {SIGNED}"))
-    linkable = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = stored(linkable.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")))
+    signs = stored(plain.mapInArrow(_sign(size, None), f"doc_id long, {SIGNED}"))
+    linkable = "n_shingles > 0 AND doc_id IS NOT NULL"
+    reps = stored(signs.where(linkable).groupBy("hi", "lo").agg(F.min("doc_id").alias("id")))
     rows = signs.select("doc_id", "n_shingles", "hi", "lo").join(reps, ["hi", "lo"], "left")
     rows = stored(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("id")).otherwise(F.col("doc_id")).alias("id")))
-    keys = stored(linkable.join(reps, ["hi", "lo"]).where("doc_id = id").select("id", "n_shingles", "keys"))
+    # made from the texts once more: cheaper than to keep the keys of all documents
+    keyed = plain.where("doc_id IS NOT NULL").mapInArrow(_sign(size, percent), f"doc_id long, {SIGNED}, keys array<long>").where(linkable)
+    keys = stored(keyed.join(reps, ["hi", "lo"]).where("doc_id = id").select("id", "n_shingles", "keys"))
     discard(signs)
     # an id with several texts stands for several sets
     twice = rows.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("_m")).where("b < _m").select("doc_id", "b")
