@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from skirmish.stages import discard, stored
 
-# Fixed values of the published method: a new player's rating, deviation and volatility, the scale, and the precision of the volatility.
+# Fixed values of the published method: a new player's rating, deviation and volatility, and the scale. Volatilities are narrowed further than its 1e-6.
 RATING, DEVIATION, VOLATILITY = 1500.0, 350.0, 0.06
-SCALE, PRECISION = 173.7178, 1e-6
+SCALE, PRECISION = 173.7178, 1e-10
 #: How fast volatilities may change.
 TAU = 0.5
 

@@ -66,7 +66,7 @@ def _any(conditions) -> Column:
 
 
 def bm25_scan(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75, top: int = 10) -> DataFrame:
-    """bm25() without an index: one scan for the corpus figures, one row, and one for the scores."""
+    """The best documents that have all query terms, by BM25, ties by key; without an index: one scan for the corpus figures, one row, and one for the scores."""
     wanted, own = _counted(docs, key, text, query)
     there = range(len(wanted))
     corpus = own.agg(F.count_if(F.col("_len") > 0).alias("_docs"), F.avg(F.when(F.col("_len") > 0, F.col("_len"))).alias("_mean"), *[F.count_if(F.col(f"_n{k}") > 0).alias(f"_df{k}") for k in there])
@@ -85,13 +85,6 @@ def conversation_of_best(rows: DataFrame, best: DataFrame, by: str) -> DataFrame
     return rows.join(F.broadcast(best.select(by).limit(1)), by, "left_semi")
 
 
-def match(index: DataFrame, key: str, query: list[str]) -> DataFrame:
-    """Documents with all query terms, and how often these occur."""
-    wanted = sorted({t.lower() for t in query})
-    found = index.where(F.col("term").isin(wanted)).groupBy(key).agg(F.count_distinct("term").alias("_n"), F.sum("tf").alias("hits"))
-    return found.where(F.col("_n") == len(wanted)).drop("_n")
-
-
 def match_phrase(index: DataFrame, key: str, phrase: list[str]) -> DataFrame:
     """Documents where the terms stand one after the other, and how often."""
     starts = None
@@ -101,21 +94,6 @@ def match_phrase(index: DataFrame, key: str, phrase: list[str]) -> DataFrame:
     return starts.groupBy(key).agg(F.count("*").alias("hits"))
 
 
-def bm25(index: DataFrame, key: str, query: list[str], k1: float = 1.2, b: float = 0.75, top: int = 10) -> DataFrame:
-    """The best documents that have all query terms, by BM25; ties by key."""
-    wanted = sorted({t.lower() for t in query})
-    lengths = index.groupBy(key).agg(F.sum("tf").alias("_len"))
-    corpus = lengths.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_mean"))
-    hits = index.where(F.col("term").isin(wanted)).select("term", key, "tf")
-    counts = hits.groupBy("term").agg(F.count("*").alias("_df"))
-    every = match(index, key, query).select(key)
-    # one row of corpus figures and one per query term: broadcast by construction
-    df = hits.join(every, key, "left_semi").join(F.broadcast(counts), "term").join(lengths, key).join(F.broadcast(corpus))
-    idf = F.greatest(F.log((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
-    return df.groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(top)
-
-
 def snippet(text, term: str, width: int = 40):
     """Up to width tokens around the first hit, the hit in brackets, with ellipses where the text goes on; null without a hit."""
     tokens = F.split(text, r"\s+")
