@@ -8,10 +8,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import discard, restricted, stored
+from skirmish.llm.common import BROADCAST_IDS, discard, restricted, stored
 from skirmish.llm.components import components
 from skirmish.llm.minhash import BLOCK, BLOCK_SHINGLES, Cells, _mix, cells, fingerprints, shingle_sets
 from skirmish.llm.texts import hashed_words
@@ -20,8 +19,8 @@ from skirmish.llm.texts import hashed_words
 SPARE = 2
 #: How the sizes of sets that share a partition grow from class to class.
 GROWTH = 1.5
-#: Times that groups too large for one tree are parted anew, by other partitions.
-REFINED = 3
+#: Groups with so many strays are parted anew by other partitions, so many times: below, comparing them costs less.
+WIDE, REFINED = 8 * BLOCK, 3
 #: Random blocks that each set of such a group meets others in.
 DEALS = 2
 
@@ -104,41 +103,13 @@ def _sign(size: int, percent: int | None):
     return run
 
 
-def _sorted_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The batch's keys and their ids, in order, and where a key is that of the row before."""
-    lists = batch.column("keys")
-    key = lists.flatten().to_numpy()
-    ids = np.repeat(batch.column("id").to_numpy(), np.diff(np.asarray(lists.offsets)))
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    return key, ids, np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, np.bool_)
-
-
-def _met_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids that share a key with another one of their batch, each with the one before it."""
-    for batch in batches:
-        _, ids, again = _sorted_keys(batch)
-        pairs = np.unique(np.stack([ids[again], ids[np.flatnonzero(again) - 1]], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], names=["a", "b"])
-
-
-def _to_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One id of each key of a batch."""
-    for batch in batches:
-        key, ids, again = _sorted_keys(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(key[~again]), pa.array(ids[~again])], names=["key", "id"])
-
-
 def _part_again(size: int, percent: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group = batch.column("key").to_numpy().astype(np.uint64)
             for own, w, n in hashed_words(batch.column("text")):
                 keys, count = part_keys(*shingle_sets(w, n, size), percent, seed)
-                keys = _mix(keys.view(np.uint64) ^ _mix(np.repeat(group[own], count) + _ODD)).view(np.int64)  # only within a group
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column("id")[own.start : own.stop], lists], names=["id", "keys"])
+                of = pa.array(np.repeat(np.arange(own.start, own.stop), count))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(of), batch.column("id").take(of), pa.array(keys)], names=["key", "id", "part"])
 
     return run
 
@@ -180,9 +151,9 @@ class Tree:
     def _enough(self, common: np.ndarray, n: np.ndarray | int, others: np.ndarray) -> np.ndarray:
         return (100 + self.percent) * common >= self.percent * (n + others)
 
-    def links(self) -> list[tuple[int, int]]:
-        """Pairs of sets that join all that is linked; no pair of sets that are joined already."""
-        out, every = [], np.arange(len(self.n))
+    def components(self) -> np.ndarray:
+        """The component of each set, by a number."""
+        every = np.arange(len(self.n))
         stack = [(0, len(self.n), 0, np.zeros(len(self.n), np.int64), every)]
         while stack:
             lo, hi, depth, common, alive = stack.pop()
@@ -199,7 +170,6 @@ class Tree:
                     a, b = sorted((int(self.roots[lo]), int(self.roots[k])))
                     if a != b:
                         self.roots[self.roots == b] = a
-                        out.append((self.order[lo], self.order[k]))
                 continue
             if end:
                 # what is left of each set beyond the last member of the beginning, and the most that any set below can add
@@ -209,11 +179,13 @@ class Tree:
                 alive = alive[self._enough(common[alive] + np.minimum(left, best - end), best, self.n[alive])]
             cuts = [lo, *(np.flatnonzero(self.alike[lo + 1 : hi] == end) + lo + 1).tolist(), hi]
             stack += [(a, b, end, common, alive) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = np.empty(len(self.n), np.int64)
+        out[self.order] = self.roots
         return out
 
 
 def _join(size: int, percent: int):
-    """Links within each cell that join all labels which any link joins."""
+    """Each set of a cell with the least id that links there join it to, if that is another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in Cells.of(batches, ["key", "cell"], 2 * BLOCK):
@@ -226,24 +198,25 @@ def _join(size: int, percent: int):
                 for _, w, count in hashed_words(texts.slice(start, n).combine_chunks()):
                     hashes, ends = shingle_sets(w, count, size)
                     sets += np.split(hashes, ends[:-1])
-                for i, j in Tree(sets, labels[start : start + n], percent).links():
-                    a.append(ids[start + i])
-                    b.append(ids[start + j])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+                own = ids[start : start + n]
+                to = Tree(sets, labels[start : start + n], percent).components()
+                least = np.full(n, np.iinfo(np.int64).max)
+                np.minimum.at(least, to, own)
+                a.append(own[own != least[to]])
+                b.append(least[to][own != least[to]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return run
 
 
-def _chained(keys: DataFrame) -> DataFrame:
-    """a, b: ids that share a key, so that those of one key hang together. keys: id, keys.
+def _met(parts: DataFrame, by: list[str]) -> DataFrame:
+    """``first`` and ``id``: groups, named by their least id, in which all ids meet that share a part. parts: by, id.
 
-    Those of a batch are linked there, and one id of each key goes on, so that a very common key has a row per batch. The
-    keys are shuffled once.
+    An id is in as many groups as its parts have different least ids. Parts of one id have none.
     """
-    there = keys.mapInArrow(_to_meet, "key long, id long")
-    before = F.lag("id").over(W.partitionBy("key").orderBy("id"))
-    pairs = there.select(F.col("id").alias("a"), before.alias("b")).where("b IS NOT NULL AND a != b")
-    return stored(pairs.union(keys.mapInArrow(_met_here, "a long, b long")).distinct())
+    least = stored(parts.groupBy(*by).agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first != _last").drop("_last"))
+    known = F.broadcast(least) if least.count() <= BROADCAST_IDS else least
+    return parts.join(known, by)
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -257,19 +230,19 @@ def joined(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
     keys: id, n_shingles and keys (of part_keys()) of distinct sets. texts: gives (id, text) for a table of ids. also: more
     links (a, b).
 
-    Linked sets share a key, so they are in one component of the graph of shared keys: a group. A group of some BLOCK
-    sets is one tree. The sets of a larger one meet others in DEALS random blocks first, which joins most of what belongs
-    together; if several labels are left, the group is parted anew by other partitions of the hash space, which parts
-    sets that shared a key by chance, and then blocks of the strays meet blocks of all others: no link is lost.
+    Linked sets share a key, and so a group, that of the key's least id. A group of some BLOCK sets is one tree. The sets of a
+    larger one meet others in DEALS random blocks first, which joins most of what belongs together; where many are left
+    apart, the group is parted anew by other partitions of the hash space, which parts sets that shared a key by chance, and
+    then blocks of the strays meet blocks of all others: no link is lost.
     """
     sized = keys.select("id", "n_shingles")
-    groups = stored(components(_chained(keys.select("id", "keys"))).select(F.col("label").alias("key"), "id"))
+    groups = stored(_met(keys.select("id", F.explode("keys").alias("part")), ["part"]).select(F.col("first").alias("key"), "id").distinct())
     members = groups.join(sized, "id")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     sizes = stored(members.groupBy("key").agg(blocks.alias("_blocks")))
     deals = F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.col("_blocks")).cast("int") + k * F.col("_blocks") for k in range(DEALS)])
     dealt = members.join(sizes, "key").select("key", "id", F.col("id").alias("label"), F.explode(F.when(F.col("_blocks") > 1, deals).otherwise(F.array(F.lit(0)))).alias("cell"))
-    sets = texts(groups.select("id")).select("id", "text")
+    sets = texts(stored(groups.select("id").distinct())).select("id", "text")
     links = stored(_deal(dealt.join(sets, "id")).mapInArrow(_join(size, percent), "a long, b long"))
     if also is not None:
         links = links.union(also)
@@ -280,22 +253,32 @@ def joined(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int,
     name = F.coalesce("label", "id").alias("label")
     # all but the sets of a group's most frequent label
     strays = lambda parted: parted.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") - F.max("n")).alias("_strays")).where("_strays > 0")
-    parted = stored(restricted(groups, large).join(labels, "id", "left").select("key", "id", name))
+    parted, before = stored(restricted(groups, large).join(labels, "id", "left").select("key", "id", name)), None
     for seed in range(1, REFINED + 1):
-        wide = stored(strays(parted).where(F.col("_strays") > BLOCK).select("key"))
-        if not wide.limit(1).count():
+        wide = stored(strays(parted).where(F.col("_strays") > WIDE))
+        left = wide.agg(F.sum("_strays")).first()[0]
+        # sets that are alike, but not linked, stay together whatever the parts
+        if not left or before and left > before / 2:
             break
+        wide, before = wide.select("key"), left
         own = restricted(parted, wide)
-        again = stored(own.join(texts(stored(own.select("id"))), "id").select("key", "id", "text").mapInArrow(_part_again(size, percent, seed), "id long, keys array<long>"))
-        # what shares no key with another has no link either
-        finer = components(_chained(again)).select(F.col("label").alias("_key"), "id")
-        finer = own.join(finer, "id").select(F.col("_key").alias("key"), "id", "label")
+        again = stored(own.join(texts(stored(own.select("id").distinct())), "id").select("key", "id", "text").mapInArrow(_part_again(size, percent, seed), "key long, id long, part long"))
+        # what shares no part with another has no link either
+        finer = _met(again, ["key", "part"]).select("key", "id", F.xxhash64("key", "first").alias("_key")).distinct()
+        finer = own.join(finer, ["key", "id"]).select(F.col("_key").alias("key"), "id", "label")
         parted = stored(finer.union(restricted(parted, wide, outside=True)))
         discard(again)
     parted = restricted(parted, stored(strays(parted).select("key")))
     if parted.limit(1).count():
         more = cells(parted, texts(stored(parted.select("id").distinct())).join(sized, "id"))
-        labels = stored(components(links.union(stored(more.mapInArrow(_join(size, percent), "a long, b long")))))
+        more = stored(more.mapInArrow(_join(size, percent), "a long, b long"))
+        # these links join labels
+        known = lambda end: F.coalesce(f"_{end}", end).alias(end)
+        for end in ("a", "b"):
+            more = more.join(labels.withColumnsRenamed({"id": end, "label": f"_{end}"}), end, "left").select(known(end), "b" if end == "a" else "a")
+        joins = stored(components(stored(more.where("a != b").distinct())).select(F.col("id").alias("label"), F.col("label").alias("_to")))
+        single = joins.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("id"), F.col("_to").alias("label"))
+        labels = stored(labels.join(joins, "label", "left").select("id", F.coalesce("_to", "label").alias("label")).union(single))
     return labels
 
 
