@@ -41,6 +41,31 @@ def test_match_documents(spark, tmp_path):
     assert {r["name"]: (r["sg_acc"], r["quad_took"]) for r in matches.players(docs).collect()} == {"x": (31.3, 2), "y": (0.0, 2), "z": (100.0, 2)}
 
 
+def test_match_tables(spark, tmp_path):
+    def player(name, team, frags, **more):
+        return {"name": name, "team": team, "ping": 25, "stats": {"frags": frags, "spawn-frags": 2}} | more
+
+    full = {"weapons": {"rl": {"acc": {"attacks": 7, "hits": 2}, "damage": {"enemy": 90}}, "gl": {"acc": {"attacks": 4, "hits": 1}}}, "items": {"q": {"took": 3, "time": 80}, "health_100": {"took": 5}}, "dmg": {"taken-to-die": 99.5, "enemy-weapons": 7}, "xferRL": 6}
+    eight = [player(f"p{k}", "red" if k % 2 else "clan", k) for k in range(6)] + [player("\u00c1nn  X", "clan", 9, **full), player("bot", "red", 50, ping=0), player("y", "red", 4, login="me")]
+    game = {"date": "2025-05-19 18:20:27 +0200", "mode": "team", "duration": 1200, "tl": 20, "teams": ["clan", "red"], "players": eight}
+    few = {"date": "x", "mode": "ffa", "duration": 5, "players": [player("a", None, 1), player("b", "", 3)]}
+    for name, doc in (("f0.mvd.ktxstats.json", game), ("f1.json", few), ("f2.json", few | {"players": eight[:1]}), ("f3.json", game | {"duration": 599}), ("f4.json", {})):
+        (tmp_path / name).write_text(json.dumps(doc))
+    docs = matches.read_documents(spark, str(tmp_path))
+    games, players = matches.match_tables(docs)
+    (row,) = games.collect()
+    assert (row["sha256"], row["map"], row["timelimit"], row["team_a_frags"], row["team_b_frags"], row["player_count"], row["is_clan_game"]) == ("f0", "unknown", 20, 15, 13, 8, False)
+    assert row["played_at"] == datetime(2025, 5, 19, 16, 20, 27)
+    rows = {r["player_name_raw"]: r for r in players.collect()}
+    ann = rows["\u00c1nn  X"]
+    assert len(players.columns) == 58 and "bot" not in rows and len(rows) == 8
+    assert (ann["player_name_ascii"], ann["player_name_normalized"], ann["rl_acc"], ann["rl_dmg"], ann["gl_hits"], ann["quad_time"], ann["health_100"], ann["taken_to_die"], ann["dmg_enemy_weapons"], ann["xfer_rl"], ann["spawn_frags"], ann["won"]) == ("Ann  X", "ann x", 28.6, 90, 1, 80, 5, 99.5, 7, 6, 2, True)
+    assert rows["y"]["login"] == "me" and rows["y"]["lg_acc"] == 0 and rows["y"]["ring_time"] == 0 and not rows["y"]["won"] and all(v is not None for v in rows["p0"])
+    loose, all_players = matches.match_tables(docs, strict=False)
+    assert {r["sha256"]: (r["team_a"], r["team_a_frags"]) for r in loose.collect()} == {"f0": ("clan", 15), "f1": ("", 4), "f3": ("clan", 15)}
+    assert all_players.where("sha256 = 'f1' AND won").count() == 0 and all_players.count() == 18
+
+
 @pytest.fixture
 def stream(spark, tmp_path):
     """Writes batches of rows as files, one per micro-batch, and returns all rows of the query over them."""
