@@ -18,7 +18,7 @@ ALIASES = """al AS (
 r AS (
   SELECT p_partkey AS id, p_partkey % 4 AS scope, []::INT[] AS place, 'a' || p_partkey || '; echo $a' AS command, 0 AS depth, true AS open FROM part
   UNION ALL
-  SELECT id, scope, CASE WHEN fork THEN list_concat(place, [i, j]) ELSE list_concat(place, [i]) END, CASE WHEN fork THEN b ELSE coalesce(x.command, y.command, part) END, depth + 1, fork OR x.name IS NOT NULL OR y.name IS NOT NULL
+  SELECT id, q.scope, CASE WHEN fork THEN list_concat(place, [i, j]) ELSE list_concat(place, [i]) END, CASE WHEN fork THEN b ELSE coalesce(x.command, y.command, part) END, depth + 1, fork OR x.name IS NOT NULL OR y.name IS NOT NULL
   FROM (
     SELECT *, len(bs) > 0 AS fork, unnest(CASE WHEN len(bs) > 0 THEN bs ELSE [part] END) AS b, unnest(range(1, greatest(len(bs), 1) + 1))::INT AS j, string_split(part, ' ')[1] AS w
     FROM (
