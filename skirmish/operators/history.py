@@ -96,3 +96,24 @@ def duplicate_names(rows: DataFrame, key: str, name: str) -> DataFrame:
 def orphans(rows: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
     """Rows that refer to a parent which isn't there; null refers to none."""
     return rows.where(F.col(column).isNotNull()).join(parents.select(F.col(key).alias(column)), column, "left_anti")
+
+
+def filtered(games: DataFrame, map_name: str | None = None, opponent: str | None = None, recorded: DataFrame | None = None) -> DataFrame:
+    """games (id, map, opponent) on a map, against an opponent, and with a recording; what is None is not asked for.
+
+    recorded: ids that have one; repeated and null ids don't matter.
+    """
+    rows = games if map_name is None else games.where(F.col("map") == map_name)
+    rows = rows if opponent is None else rows.where(F.col("opponent") == opponent)
+    return rows if recorded is None else rows.join(recorded.select("id"), "id", "left_semi")
+
+
+def recording_counts(sessions: DataFrame, recordings: DataFrame) -> DataFrame:
+    """team, ``sessions`` (completed ones), ``uploaded`` (distinct sessions with a recording) and ``maps`` (recordings).
+
+    sessions: team, status; recordings: team, session. Both are summed by team before they are merged, and a team that only one of
+    them has counts 0 in the other. Rows without a team are left out; a recording without a session counts as a map only.
+    """
+    held = sessions.where("team IS NOT NULL AND status = 'completed'").groupBy("team").agg(F.count("*").alias("sessions"))
+    made = recordings.where("team IS NOT NULL").groupBy("team").agg(F.count_distinct("session").alias("uploaded"), F.count("*").alias("maps"))
+    return held.join(made, "team", "full").select("team", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sessions", "uploaded", "maps")])
