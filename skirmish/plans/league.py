@@ -785,11 +785,16 @@ def linkage_weights(spark, d):
     return pairs.select("a", "brand", "size", F.round(weight, 9).alias("weight"), identity.link_band(weight, 0.01).alias("band"))
 
 
+@query(f"""WITH RECURSIVE {GAMES}, o AS (SELECT *, row_number() OVER () AS row FROM games), x AS (SELECT row, player, sum(s) AS s FROM (SELECT row, team_a AS player, 1.0 AS s FROM o UNION ALL SELECT row, team_b, -1.0 FROM o) GROUP BY ALL HAVING sum(s) <> 0),
+n AS (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT DISTINCT player FROM x)), c AS (SELECT n.i, x.row, x.s, frags_a - frags_b AS diff FROM x JOIN n USING (player) JOIN o USING (row)),
+a AS (SELECT p.i, q.i AS j, sum(p.s * q.s) AS v FROM c p JOIN c q USING (row) GROUP BY ALL), b AS (SELECT i, sum(s * diff) AS v FROM c GROUP BY 1),
+r AS (SELECT p.i, list(coalesce(a.v, 0)::DOUBLE + CASE WHEN p.i = q.i THEN 10.0 ELSE 0.0 END ORDER BY q.i) AS r FROM n p CROSS JOIN n q LEFT JOIN a ON a.i = p.i AND a.j = q.i GROUP BY 1),
+g AS (SELECT 0::BIGINT AS k, list(list_append(r.r, b.v::DOUBLE) ORDER BY i) AS m FROM r JOIN b USING (i)
+UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1]) ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM g WHERE k < len(m))
+SELECT player, round(m[i][-1], 6) AS strength FROM n, g WHERE k = len(m)""")
 def ridge_lineups(spark, d):
-    """Strength of twenty teams from the score differences of all games, by ridge regression; no SQL."""
+    """Strength of twenty teams from the score differences of all games, by ridge regression; the SQL solves the normal equations."""
     from skirmish.operators import ratings
 
-    return ratings.ridge(games(spark, d).select("id", F.array("team_a").alias("side_a"), F.array("team_b").alias("side_b"), (F.col("frags_a") - F.col("frags_b")).alias("diff")), 10.0)
-
-
-query(None)(ridge_lineups)
+    found = ratings.ridge(games(spark, d).select(F.array("team_a").alias("side_a"), F.array("team_b").alias("side_b"), (F.col("frags_a") - F.col("frags_b")).alias("diff")), 10.0)
+    return found.select("player", F.round("strength", 6).alias("strength"))

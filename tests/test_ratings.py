@@ -101,3 +101,32 @@ def test_the_stream_rates_like_the_batch(spark, tmp_path):
             assert mine["rating"] == pytest.approx(r["rating"], abs=1e-6) and mine["volatility"] == pytest.approx(r["volatility"], abs=1e-9) and mine["period"] == r["period"]
             if r["period"] == max(x["period"] for x in want.values()):
                 assert mine["deviation"] == pytest.approx(r["deviation"], abs=1e-6)
+
+
+def test_ridge(spark):
+    """Line-ups of two and three, with and without a prior, against the normal equations."""
+    from skirmish.operators import ratings
+
+    rng, names = random.Random(4), [f"p{k}" for k in range(7)]
+    rows = []
+    for _ in range(80):
+        players = rng.sample(names, 6)
+        rows.append((players[:3], players[3:], rng.randrange(-40, 41)))
+    rows += [rows[0], rows[0], (["p1", "p2"], ["p1", "p3"], 7), (None, ["p1"], 3), (["p1"], ["p2"], None), (["p4", None], ["p5"], 2)]
+    games = spark.createDataFrame(rows, "side_a array<string>, side_b array<string>, diff int")
+    x = np.zeros((len(rows), len(names)))
+    y = np.array([0 if r[0] is None or r[2] is None else r[2] for r in rows], float)
+    for k, (a, b, diff) in enumerate(rows):
+        if a is not None and diff is not None:
+            for side, s in ((a, 1), (b, -1)):
+                for p in side:
+                    if p:
+                        x[k, names.index(p)] += s
+    prior = {"p0": 5.0, "p3": -2.0}
+    w0 = np.array([prior.get(n, 0.0) for n in names])
+    for alpha, given in ((60.0, None), (90.0, spark.createDataFrame(list(prior.items()), "player string, strength double"))):
+        base = w0 if given is not None else 0 * w0
+        want = base + np.linalg.solve(x.T @ x + alpha * np.eye(len(names)), x.T @ (y - x @ base))
+        got = {r["player"]: r["strength"] for r in ratings.ridge(games, alpha, given).collect()}
+        assert [got[n] for n in names] == pytest.approx(want.tolist(), abs=1e-4)
+    assert ratings.ridge(games.limit(0), 1.0).count() == 0
