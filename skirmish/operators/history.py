@@ -78,11 +78,13 @@ def most_children(rows: DataFrame, within: str, parent: str) -> DataFrame:
     return counts.groupBy(within).agg(F.max("n").alias("n"), F.min_by(parent, F.struct(-F.col("n"), F.col(parent))).alias(parent))
 
 
-def series(recordings: DataFrame) -> DataFrame:
+def series(recordings: DataFrame, position: str | None = None) -> DataFrame:
     """Recordings of a session against one opponent: maps in order, map wins of both sides (draws are neither), whether all are
-    whole. recordings: id, session (null: a series of its own), opponent, started_at, map, result, whole."""
+    whole. recordings: id, session (null: a series of its own), opponent, started_at, map, result, whole. position: a column
+    that puts recordings of one id and time in order; else their maps do."""
     key = F.coalesce(F.col("session"), F.concat(F.lit("alone-"), F.col("id").cast("string")))
-    maps = F.transform(F.array_sort(F.collect_list(F.struct("started_at", "id", "map"))), lambda x: x["map"])
+    order = ["started_at", "id"] if position is None else ["started_at", "id", position]
+    maps = F.transform(F.array_sort(F.collect_list(F.struct(*order, "map"))), lambda x: x["map"])
     return recordings.groupBy(key.alias("series"), "opponent").agg(
         F.array_join(maps, ",").alias("maps"), F.count_if(F.col("result") == "W").alias("won"), F.count_if(F.col("result") == "L").alias("lost"), F.bool_and("whole").alias("whole"), F.max("started_at").alias("last_at")
     )

@@ -285,9 +285,10 @@ def most_children(spark, d):
 @query(f"""WITH {GAMES}, r AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'alone-' || id ELSE 's' || (id // 10) END AS series, team_b AS opponent, played_at, map, CASE WHEN frags_a > frags_b THEN 'W' WHEN frags_a < frags_b THEN 'L' ELSE 'D' END AS result, frags_a % 9 <> 0 AS whole FROM games)
 SELECT series, opponent, string_agg(map, ',' ORDER BY played_at, id) AS maps, count_if(result = 'W')::BIGINT AS won, count_if(result = 'L')::BIGINT AS lost, bool_and(whole) AS whole, max(played_at) AS last_at FROM r GROUP BY ALL""")
 def recording_series(spark, d):
-    g = games(spark, d)
+    """Lines of one order, number and day follow each other as in the table."""
+    g = games(spark, d, F.struct("_metadata.file_path", "_metadata.row_index").alias("position"))
     session = F.when(F.col("id") % 4 != 0, F.concat(F.lit("s"), F.floor(F.col("id") / 10)))
-    return history.series(g.select("id", session.alias("session"), F.col("team_b").alias("opponent"), F.col("played_at").alias("started_at"), "map", matches.outcome(F.col("frags_a"), F.col("frags_b")).alias("result"), (F.col("frags_a") % 9 != 0).alias("whole")))
+    return history.series(g.select("id", session.alias("session"), F.col("team_b").alias("opponent"), F.col("played_at").alias("started_at"), "map", matches.outcome(F.col("frags_a"), F.col("frags_b")).alias("result"), (F.col("frags_a") % 9 != 0).alias("whole"), "position"), "position")
 
 
 @query("SELECT lower(p_name) AS name, count(*)::BIGINT AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS keys FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,13 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order line is a game between two of twenty teams."""
+def games(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """An order line is a game between two of twenty teams. more: columns of the line, or of its file."""
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("played_at"), F.col("l_returnflag").alias("map"),
         F.concat(F.lit("t"), F.col("l_suppkey") % 20).alias("team_a"), F.concat(F.lit("t"), F.col("l_partkey") % 20).alias("team_b"),
         F.col("l_quantity").cast("int").alias("frags_a"), (F.col("l_partkey") % 50).cast("int").alias("frags_b"),
-        (F.col("l_quantity") * 30).cast("int").alias("duration"), F.when(F.col("l_linenumber") < 4, F.lit(10)).alias("timelimit"),
+        (F.col("l_quantity") * 30).cast("int").alias("duration"), F.when(F.col("l_linenumber") < 4, F.lit(10)).alias("timelimit"), *more,
     )
 
 
