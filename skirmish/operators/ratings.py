@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skirmish.stages import discard, stored
 
 
-def ridge(games: DataFrame, alpha: float, prior: DataFrame | None = None, rounds: int = 300, precision: float = 1e-16) -> DataFrame:
+def ridge(games: DataFrame, alpha: float, prior: DataFrame | None = None, rounds: int = 300, precision: float = 1e-26) -> DataFrame:
     """``player`` and ``strength``: the least squares of the score differences over both line-ups, with alpha times the sum of
     squares added; no intercept.
 
@@ -37,19 +37,20 @@ def ridge(games: DataFrame, alpha: float, prior: DataFrame | None = None, rounds
         return state.join(pairs.join(held, "other").groupBy("player").agg(F.sum(F.col("v") * F.col("_c")).alias("q")), "player")
 
     # alpha pulls towards the prior, where the search begins, so that it has no part in the first residual
-    state = times(sums, "w").select("player", "w", (F.col("b") - F.col("q")).alias("r")).withColumn("p", F.col("r"))
-    state = stored(state)
-    first = left = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    state = stored(times(sums, "w").select("player", "w", (F.col("b") - F.col("q")).alias("r"), F.lit(0.0).alias("p")))
+    size = lambda df: df.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    first = left = size(state)
+    share = 0.0
     for _ in range(rounds):
         if left <= precision * first:
             break
-        moved = stored(times(state, "p").withColumn("q", F.col("q") + alpha * F.col("p")))
-        pq, rq, qq = moved.agg(F.sum(F.col("p") * F.col("q")), F.sum(F.col("r") * F.col("q")), F.sum(F.col("q") * F.col("q"))).first()
-        step = left / pq
-        after = left - 2 * step * rq + step**2 * qq
-        r = F.col("r") - step * F.col("q")
-        new = stored(moved.select("player", (F.col("w") + step * F.col("p")).alias("w"), r.alias("r"), (r + after / left * F.col("p")).alias("p")))
+        turned = state.withColumn("p", F.col("r") + share * F.col("p"))
+        moved = stored(times(turned, "p").withColumn("q", F.col("q") + alpha * F.col("p")))
+        step = left / moved.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        new = stored(moved.select("player", (F.col("w") + step * F.col("p")).alias("w"), (F.col("r") - step * F.col("q")).alias("r"), "p"))
+        # summed over the new residual: what follows from the old one's sums is lost in their rounding
+        after = size(new)
         for old in (state, moved):
             discard(old)
-        state, left = new, after
+        state, left, share = new, after, after / left
     return state.select("player", F.col("w").alias("strength"))
