@@ -119,9 +119,10 @@ _AVG = f"averages AS (SELECT name, count(*)::BIGINT AS games, round(avg(kills),
 
 
 def _averages(spark, d):
-    measures = {"kills": F.col("kills"), "eff": matches.efficiency(F.col("kills"), F.col("deaths")), "damage": F.col("damage"), "accuracy": F.col("accuracy")}
+    # damage has two decimals: a sum of doubles hangs on its order, which shows where a mean lies on the edge of two roundings
+    measures = {"kills": F.col("kills"), "eff": matches.efficiency(F.col("kills"), F.col("deaths")), "damage": F.col("damage").cast("decimal(15,2)"), "accuracy": F.col("accuracy")}
     out = profiles.averages(players(spark, d), "name", measures, 20)
-    return out.select("name", "games", *[F.round(m, 6).alias(m) for m in measures])
+    return out.select("name", "games", *[F.round(m, 6).cast("double").alias(m) for m in measures])
 
 
 @query(f"WITH {PLAYERS}, {_AVG} SELECT * FROM averages")
