@@ -73,11 +73,16 @@ def painted(name: Column, colors: Column) -> Column:
 
 def runs(chars: Column) -> Column:
     """``text`` and ``color`` of the longest stretches of one colour, in order."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: (i == 1) | ~F.get(chars, i - 2)["color"].eqNullSafe(F.get(chars, i - 1)["color"]))
-    bounds = F.concat(starts, F.array(F.size(chars) + 1))
-    text = lambda a, b: F.array_join(F.transform(F.slice(chars, a, b - a), lambda c: c["ch"]), "")
-    found = F.transform(starts, lambda a, k: F.struct(text(a, F.get(bounds, k + 1)).alias("text"), F.get(chars, a - 1)["color"].alias("color")))
-    return F.when(F.size(chars) > 0, found).when(chars.isNotNull(), F.filter(found, lambda _: F.lit(False)))
+    run = "struct<text:string,color:string>"
+
+    def longer(done: Column, c: Column) -> Column:
+        last, ch = F.get(done, F.size(done) - 1), F.coalesce(c["ch"], F.lit(""))
+        joins = (F.size(done) > 0) & last["color"].eqNullSafe(c["color"])
+        grown = F.struct(F.concat(F.when(joins, last["text"]).otherwise(""), ch).alias("text"), c["color"].alias("color")).cast(run)
+        return F.concat(F.when(joins, F.slice(done, 1, F.size(done) - 1)).otherwise(done), F.array(grown))
+
+    # one pass: each mention of chars would make them anew
+    return F.aggregate(chars, F.array().cast(f"array<{run}>"), longer)
 
 
 def markup(chars: Column, css: str = "color-") -> Column:
