@@ -12,11 +12,18 @@ from skirmish.functions.strings import edge_trim
 LONGEST = 4 * 3600
 
 
+def plain_names(names: Column) -> Column:
+    """The distinct names, trimmed at the edges, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(names, edge_trim), lambda n: n != ""))
+
+
+def _alike(own: Column, others: Column, least: int) -> Column:
+    return F.size(F.filter(own, lambda a: (F.length(a) >= least) & F.exists(others, lambda b: F.contains(a, b) | F.contains(b, a))))
+
+
 def alike_names(own: Column, others: Column, least: int) -> Column:
     """How many of own's distinct names, trimmed at the edges, hold one of the others or are held by one; shorter ones don't count."""
-    plain = lambda names: F.array_distinct(F.filter(F.transform(names, edge_trim), lambda n: n != ""))
-    theirs = plain(others)
-    return F.size(F.filter(plain(own), lambda a: (F.length(a) >= least) & F.exists(theirs, lambda b: F.contains(a, b) | F.contains(b, a))))
+    return _alike(plain_names(own), plain_names(others), least)
 
 
 def best_known(name: Column, known: list[str]) -> Column:
@@ -45,20 +52,41 @@ def confidence(offset: Column, has_stats: Column, names: Column) -> Column:
     return F.struct(half_up(score, 2).alias("score"), reasons.alias("reasons"))
 
 
+def _alike_pairs(own: DataFrame, others: DataFrame) -> DataFrame:
+    """``_a``, ``_b``: names of own (_a) and others (_b), of which one holds the other, by joins on all stretches of the longer."""
+    stretches = lambda name: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.transform(F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n)))))
+    held = own.select("_a", F.explode(stretches(F.col("_a"))).alias("_b")).join(others, "_b", "left_semi")
+    holds = others.select("_b", F.explode(stretches(F.col("_b"))).alias("_a")).join(own, "_a", "left_semi")
+    return held.select("_a", "_b").union(holds.select("_a", "_b")).distinct()
+
+
 def paired(recordings: DataFrame, matches: DataFrame, buffer: float = 120.0, bin_seconds: float = 3600.0) -> DataFrame:
     """Matches within a recording's time, of its team or with two alike names: ``recording``, ``match``, ``offset``, ``score``,
     ``reasons``.
 
-    recordings: recording, tag, starts, ends (seconds), names. matches: match, at, tags, names, has_stats. A range join on
-    equal time bins; a match lies in one bin, so that no pair is doubled.
+    recordings: recording, tag, starts, ends (seconds), names. matches: match, at, tags, names, has_stats. Range joins on
+    equal time bins and, besides, one of equal tags and one of names known to be alike, so that what meets is what is wanted,
+    but for pairs with one alike name. A match lies in one bin, and a pair is taken at its tag or at its first alike names
+    only, so that none is doubled.
     """
     number = lambda x: F.floor(x / bin_seconds)
-    spans = recordings.select("recording", "tag", "starts", "ends", F.col("names").alias("tracks"), F.explode(F.sequence(number(F.col("starts") - buffer), number(F.col("ends") + buffer))).alias("bin"))
-    both = spans.join(matches.withColumn("bin", number(F.col("at"))), "bin").where((F.col("at") >= F.col("starts") - buffer) & (F.col("at") < F.col("ends") + buffer))
-    ours = F.coalesce(F.exists("tags", lambda t: F.lower(t) == F.lower("tag")), F.lit(False)) & (F.col("tag") != "")
-    both = both.where(ours | (alike_names(F.col("tracks"), F.col("names"), 2) >= 2))
+    spans = recordings.select("recording", F.lower("tag").alias("_tag"), "starts", "ends", plain_names(F.col("names")).alias("_own"), F.explode(F.sequence(number(F.col("starts") - buffer), number(F.col("ends") + buffer))).alias("bin"))
+    met = matches.select("match", "at", F.array_distinct(F.filter(F.transform("tags", F.lower), lambda t: t != "")).alias("_tags"), plain_names(F.col("names")).alias("_others"), "has_stats", number(F.col("at")).alias("bin"))
+    in_time = (F.col("at") >= F.col("starts") - buffer) & (F.col("at") < F.col("ends") + buffer)
+    ours = spans.join(met.withColumn("_tag", F.explode("_tags")), ["bin", "_tag"]).where(in_time)
+    alike = _alike_pairs(
+        recordings.select(F.explode(plain_names(F.col("names"))).alias("_a")).where(F.length("_a") >= 2).distinct(),
+        matches.select(F.explode(plain_names(F.col("names"))).alias("_b")).distinct(),
+    )
+    named = spans.withColumn("_a", F.explode("_own")).join(alike, "_a").join(met.withColumn("_b", F.explode("_others")), ["bin", "_b"]).where(in_time)
+    one = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    hits = F.filter("_own", lambda a: (F.length(a) >= 2) & F.exists("_others", lambda b: one(a, b)))
+    named = named.where(~F.coalesce(F.array_contains("_tags", F.col("_tag")), F.lit(False)) & (F.size(hits) >= 2) & (F.get(hits, 0) == F.col("_a")))
+    named = named.where(F.get(F.filter("_others", lambda b: one(F.col("_a"), b)), 0) == F.col("_b"))
+    kept = ["recording", "match", "at", "starts", "_own", "_others", "has_stats"]
+    both = ours.select(kept).union(named.select(kept))
     offset = F.col("at") - F.col("starts")
-    both = both.withColumn("_c", confidence(offset, F.col("has_stats"), alike_names(F.col("tracks"), F.col("names"), 3)))
+    both = both.withColumn("_c", confidence(offset, F.col("has_stats"), _alike(F.col("_own"), F.col("_others"), 3)))
     return both.select("recording", "match", offset.alias("offset"), "_c.score", "_c.reasons")
 
 

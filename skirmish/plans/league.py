@@ -200,7 +200,7 @@ c AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier) SELECT c.a, c.b,
 def shared_count(spark, d):
     """Candidate pairs that met in a match can't be one person."""
     pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
-    met = identity.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+    met = identity.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", pairs)
     together = F.coalesce("together", F.lit(0))
     return pairs.join(met, ["a", "b"], "left").select("a", "b", together.alias("together"), (together > 0).alias("apart"))
 
@@ -779,8 +779,10 @@ w AS (SELECT a, brand, size, CASE WHEN brand THEN log2(0.9 / 0.05) ELSE log2((1
 SELECT a, brand, size, round(weight, 9) AS weight, CASE WHEN 0.01 * 2 ** weight / (1 - 0.01 + 0.01 * 2 ** weight) >= 0.95 THEN 'same' WHEN 0.01 * 2 ** weight / (1 - 0.01 + 0.01 * 2 ** weight) >= 0.7 THEN 'maybe' ELSE 'other' END AS band FROM w""")
 def linkage_weights(spark, d):
     """Pairs of parts of one name, by whether brand and size agree."""
+    # parts that agree in all that is compared are one row: some pair of two such rows is in order if the least key and the greatest are
     part = table(spark, d, "part").select("p_partkey", "p_name", F.substring("p_brand", 1, 7).alias("brand"), "p_size")
-    x, y = part.where("p_partkey % 9 = 0"), part.withColumnsRenamed({"p_partkey": "k2", "brand": "b2", "p_size": "s2"})
+    x = part.where("p_partkey % 9 = 0").groupBy("p_name", "brand", "p_size").agg(F.min("p_partkey").alias("p_partkey"))
+    y = part.groupBy("p_name", F.col("brand").alias("b2"), F.col("p_size").alias("s2")).agg(F.max("p_partkey").alias("k2"))
     pairs = x.join(y, "p_name").where("p_partkey < k2").select(F.col("p_name").alias("a"), (F.col("brand") == F.col("b2")).alias("brand"), (F.col("p_size") == F.col("s2")).alias("size")).distinct()
     weight = identity.link_weight({"brand": (0.9, 0.05), "size": (0.8, 0.02)})
     return pairs.select("a", "brand", "size", F.round(weight, 9).alias("weight"), identity.link_band(weight, 0.01).alias("band"))
