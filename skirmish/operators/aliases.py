@@ -32,6 +32,7 @@ def expanded(commands: DataFrame, aliases: DataFrame, depth: int = DEPTH) -> Dat
     Each level is a join of the open commands with the aliases of their scope, and the levels are written one by one.
     """
     known = aliases.where("scope IS NOT NULL AND name IS NOT NULL").select("scope", F.col("name").alias("_name"), F.coalesce("command", F.lit("")).alias("_to"))
+    apart = lambda df: df.hint("merge")  # noqa: E731 - the aliases grow with the commands: no copy passes through the driver
     open_ = commands.select("scope", "id", F.array().cast("array<int>").alias("place"), F.trim("command").alias("command"))
     closed = None
     for level in range(depth + 2):
@@ -46,11 +47,11 @@ def expanded(commands: DataFrame, aliases: DataFrame, depth: int = DEPTH) -> Dat
         plain = parts.where(F.size("_b") == 0).drop("_b").withColumns({"_w": word, "_plus": F.when(word.startswith("+"), F.substring(word, 2, 100_000)), "_prefix": F.nullif(F.regexp_extract(word, r"^([^$]+)\$", 1), F.lit(""))})
         own = known.withColumnsRenamed({"_name": "_w", "_to": "_own"})
         plus = known.withColumnsRenamed({"_name": "_plus", "_to": "_without"})
-        looked = plain.join(own, ["scope", "_w"], "left").join(plus, ["scope", "_plus"], "left")
+        looked = plain.join(apart(own), ["scope", "_w"], "left").join(apart(plus), ["scope", "_plus"], "left")
         wild = looked.where("_own IS NULL AND _plus IS NULL AND _prefix IS NOT NULL").select("scope", "_prefix").distinct()
-        fits = wild.join(known.where(~F.contains("_name", F.lit("$"))), "scope").where(F.startswith("_name", F.col("_prefix")))
+        fits = wild.join(apart(known.where(~F.contains("_name", F.lit("$")))), "scope").where(F.startswith("_name", F.col("_prefix")))
         like = fits.groupBy("scope", "_prefix").agg(F.min_by("_to", "_name").alias("_like"))
-        looked = looked.join(like, ["scope", "_prefix"], "left").withColumn("_next", F.coalesce("_own", "_without", F.when(F.col("_plus").isNull(), F.col("_like"))))
+        looked = looked.join(apart(like), ["scope", "_prefix"], "left").withColumn("_next", F.coalesce("_own", "_without", F.when(F.col("_plus").isNull(), F.col("_like"))))
         looked = stored(looked.select("scope", "id", "place", "command", "_next"))
         ended = looked.where("_next IS NULL").select("id", "place", "command")
         closed = ended if closed is None else closed.union(ended)

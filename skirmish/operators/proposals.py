@@ -34,14 +34,19 @@ def enriched(proposals: DataFrame, available: DataFrame, team: str) -> DataFrame
         "id", "week", swap("opponent", "proposer").alias("opponent"), (~first).alias("is_incoming"), swap("least_proposer", "least_opponent").alias("_least"), swap("least_opponent", "least_proposer").alias("_other_least"),
         swap("proposer_standin", "opponent_standin").alias("_standin"), swap("opponent_standin", "proposer_standin").alias("_other_standin"),
     )
+    # proposals that are alike in all that counts are one row until the end
+    alike = ["week", "opponent", "_least", "_other_least", "_standin", "_other_standin"]
+    cases = own.select(alike).distinct().withColumn("id", F.struct(alike))
     counts = available.groupBy("team", "week", "slot").agg(F.count_distinct("user").alias("n"))
     ours = counts.where(F.col("team") == team).select("week", "slot", F.col("n").alias("_ours"))
-    sides = own.join(ours, "week").select("id", "slot", "_ours", F.lit(None).cast("long").alias("_theirs"))
-    sides = sides.union(own.join(counts.withColumnRenamed("team", "opponent"), ["opponent", "week"]).select("id", "slot", F.lit(None).cast("long"), "n"))
+    sides = cases.join(ours, "week").select("id", "slot", "_ours", F.lit(None).cast("long").alias("_theirs"))
+    sides = sides.union(cases.join(counts.withColumnRenamed("team", "opponent"), ["opponent", "week"]).select("id", "slot", F.lit(None).cast("long"), "n"))
     slots = sides.groupBy("id", "slot").agg(F.coalesce(F.max("_ours"), F.lit(0)).alias("_ours"), F.coalesce(F.max("_theirs"), F.lit(0)).alias("_theirs"))
     enough = lambda n, standin, least: F.least(F.lit(4), F.col(n) + F.col(standin).cast("int")) >= F.col(least)
-    viable = own.join(slots, "id").where(enough("_ours", "_standin", "_least") & enough("_theirs", "_other_standin", "_other_least")).groupBy("id").agg(F.count("*").alias("viable"))
-    return own.select("id", "week", "opponent", "is_incoming").join(viable, "id", "left").na.fill(0, ["viable"])
+    viable = cases.join(slots, "id").where(enough("_ours", "_standin", "_least") & enough("_theirs", "_other_standin", "_other_least")).groupBy(alike).agg(F.count("*").alias("viable"))
+    found = viable.withColumnsRenamed({c: f"_of_{c}" for c in alike})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in alike]
+    return own.join(found, same, "left").select("id", "week", "opponent", "is_incoming", "viable").na.fill(0, ["viable"])
 
 
 def best_slots(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -96,9 +96,14 @@ def match_phrase(index: DataFrame, key: str, phrase: list[str]) -> DataFrame:
 
 def snippet(text, term: str, width: int = 40):
     """Up to width tokens around the first hit, the hit in brackets, with ellipses where the text goes on; null without a hit."""
-    tokens = F.split(text, r"\s+")
-    at = F.array_position(F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]", "")), term.lower())
-    first = F.greatest(at - width // 2, F.lit(1)).cast("int")
-    window = F.slice(F.transform(tokens, lambda t, i: F.when(i + 1 == at, F.concat(F.lit("["), t, F.lit("]"))).otherwise(t)), first, F.lit(width))
-    more = F.when(first + width <= F.size(tokens), F.lit(" ...")).otherwise(F.lit(""))
-    return F.when(at > 0, F.concat(F.when(first > 1, F.lit("... ")).otherwise(F.lit("")), F.array_join(window, " "), more))
+    plain = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]", "")
+
+    def shown(tokens: Column, at: Column) -> Column:
+        first = F.greatest(at - width // 2, F.lit(1)).cast("int")
+        window = F.transform(F.slice(tokens, first, F.lit(width)), lambda t, i: F.when(i + first == at, F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+        more = F.when(first + width <= F.size(tokens), F.lit(" ...")).otherwise(F.lit(""))
+        return F.when(at > 0, F.concat(F.when(first > 1, F.lit("... ")).otherwise(F.lit("")), F.array_join(window, " "), more))
+
+    # arrays of one element bind the tokens and the place, so that each text is split and searched once
+    split = F.transform(F.array(F.split(text, r"\s+")), lambda ts: F.struct(ts.alias("ts"), F.array_position(F.transform(ts, plain), term.lower()).alias("at")))
+    return F.get(F.transform(split, lambda x: shown(x["ts"], x["at"])), 0)
