@@ -25,6 +25,5 @@ SELECT n.id, m.id AS label FROM n, last JOIN n m ON m.i = l[n.i] WHERE n.i IN (S
 def constrained_clusters(spark, d):
     """Suppliers that are often in one order, but no two of one nation in a cluster."""
     pairs = identity.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey").where(F.col("together") >= TOGETHER)
-    own = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("a"))
-    forbidden = own.join(own.withColumnRenamed("a", "b"), "s_nationkey").where("a < b").select("a", "b")
-    return identity.constrained_clusters(pairs.withColumnRenamed("together", "weight"), forbidden)
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("group"))
+    return identity.constrained_clusters(pairs.withColumnRenamed("together", "weight"), exclusive=nations)
