@@ -7,24 +7,82 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skirmish.functions.stems import accents, stem
 from skirmish.stages import shared_folder, stored
 
 _SPLIT = r"[^\p{L}\p{N}]+"
-
-
-def _stemmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(stem=[stem(t) for t in batch["term"]])
+_PLAIN = str.maketrans(*accents())
 
 
 def tokens(text: Column) -> Column:
-    """The runs of letters and digits, lower-cased and without accents."""
-    return F.filter(F.split(F.translate(F.lower(text), *accents()), _SPLIT), lambda t: t != "")
+    """The runs of letters and digits, lower-cased, with their accents: they are taken off each distinct one, not off the text."""
+    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
+
+
+def _numbered(names: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct names, and the number of each name's."""
+    own: dict[str, int] = {}
+    at = np.array([own.setdefault(x, len(own)) for x in names], dtype=np.int64)
+    return list(own), at
+
+
+def _spoken(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of each word of all rows its row, its place there and its term's number; and the terms, which are without accents."""
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    terms, number = _numbered([t.translate(_PLAIN) for t in coded.dictionary.to_pylist()])
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - (np.cumsum(size) - size)[row], number[coded.indices.to_numpy()], terms
+
+
+def _postings(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, term, terms = _spoken(batch.column("_w"))
+            if not len(row):
+                continue
+            stems, number = _numbered([stem(t) for t in terms])
+            both = row * len(stems) + number[term]
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            ends = np.append(np.flatnonzero(np.diff(both, prepend=-1)), len(both))
+            row, own = np.divmod(both[ends[:-1]], len(stems))
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[order], pa.int32()))
+            size = pc.list_value_length(batch.column("_w")).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(stems).take(pa.array(own)), batch.column(key).take(pa.array(row)), pa.array(np.diff(ends)), places, size], ["term", key, "tf", "places", "len"])
+
+    return run
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, _, term, terms = _spoken(batch.column("_w"))
+        stems, number = _numbered([stem(t) for t in terms])
+        known = batch.column("_known").to_numpy(zero_copy_only=False)[row]
+        met = np.unique(row[known] * max(len(stems), 1) + number[term[known]]) % max(len(stems), 1)
+        _, first = np.unique(number, return_index=True)
+        # the documents of a stem are told with the first of its forms
+        docs = np.zeros(len(terms), dtype=np.int64)
+        docs[first] = np.bincount(met, minlength=len(stems))
+        n = np.bincount(term, minlength=len(terms))
+        yield pa.RecordBatch.from_arrays([pa.array([stems[k] for k in number], pa.string()), pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(docs)], ["stem", "term", "n", "docs"])
+
+
+def stem_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``stem``, ``n``, how often it stands in all texts, ``docs``, in how many documents, and ``forms``, how many terms it is of.
+
+    A task counts its own batches, so that what is shuffled are their distinct terms. Texts of a null key are of no document.
+    """
+    counts = _gathered(docs, key, text).select(F.col(key).isNotNull().alias("_known"), tokens(F.col("_t")).alias("_w")).mapInArrow(_forms, "stem string, term string, n long, docs long")
+    counts = counts.groupBy("stem", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counts.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.count("*").alias("forms"))
 
 
 @dataclass(frozen=True)
@@ -39,23 +97,33 @@ class Index:
 def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> Index:
     """The index of docs, written to path, or to the shared folder.
 
-    Terms are tokens() in their stems: the stemmer sees each distinct term once, and the stems are joined back. Postings are
-    sorted and dealt by ranges of (term, key), so that a query reads the row groups of its terms or prefixes only, and a term
-    that is everywhere fills several files. Null and empty texts, and ones without tokens, have no postings. Rows that repeat a
-    key are one document, whose texts follow in any order; rows of a null key are left out.
+    Terms are tokens() without accents, in their stems. A document's postings are made by the task that reads it, and the
+    stemmer sees each distinct term of a batch once. Postings are sorted and dealt by ranges of (term, key), so that a query
+    reads the row groups of its terms or prefixes only, and a term that is everywhere fills several files. Null and empty
+    texts, and ones without tokens, have no postings. Rows that repeat a key are one document, whose texts follow in any
+    order; rows of a null key are left out.
     """
     path = path or shared_folder(docs.sparkSession)
-    said = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_join(F.collect_list(text), "\n").alias("_t")) if _repeats(docs, key) else docs.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_t"))
-    words = stored(said.select(key, tokens(F.col("_t")).alias("_w")).where(F.size("_w") > 0).select(key, F.size("_w").alias("len"), F.posexplode("_w").alias("at", "term")))
-    stems = stored(words.select("term").distinct().mapInPandas(_stemmed, "term string, stem string"))
-    own = words.join(stems, "term").groupBy(F.col("stem").alias("term"), key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"), F.first("len").alias("len"))
+    said = _gathered(docs.where(F.col(key).isNotNull()), key, text)
+    kind = T.StructType().add("term", "string").add(key, said.schema[key].dataType).add("tf", "long").add("places", T.ArrayType(T.IntegerType())).add("len", T.IntegerType())
+    own = stored(said.select(key, tokens(F.col("_t")).alias("_w")).mapInArrow(_postings(key), kind))
     own.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
-    words.where("at = 0").agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len")).coalesce(1).write.parquet(f"{path}/corpus")
+    # one term of a document stands at its beginning
+    own.where(F.get("places", F.lit(0)) == 0).agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len")).coalesce(1).write.parquet(f"{path}/corpus")
     return load(docs.sparkSession, path, key)
 
 
+def _gathered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key and ``_t``, the text that isn't null, or the texts, of each key; rows of a null key stay as they are."""
+    own = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"))
+    if not _repeats(own, key):
+        return own
+    known = own.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_join(F.collect_list("_t"), "\n").alias("_t"))
+    return known.union(own.where(F.col(key).isNull()))
+
+
 def _repeats(docs: DataFrame, key: str) -> bool:
-    return docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    return docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
 
 
 def load(spark: SparkSession, path: str, key: str) -> Index:
@@ -124,7 +192,7 @@ def parse(query: str) -> Phrase | Near | Op | None:
                 raise ValueError(f"query not understood, a word expected: {query}")
             at += 1
             plain = text[1:-1].replace('""', '"') if kind == "string" else text
-            terms += [stem(t) for t in re.split(r"[\W_]+", plain.lower().translate(str.maketrans(*accents()))) if t]
+            terms += [stem(t) for t in re.split(r"[\W_]+", plain.lower().translate(_PLAIN)) if t]
             if not take("+"):
                 return Phrase(tuple(terms), take("*"), first)
 

@@ -46,9 +46,7 @@ p AS (SELECT doc_id, n, stem, pos FROM t JOIN stems USING (term))"""
 @query(f"WITH {PLACES} SELECT stem, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs, count(DISTINCT term)::BIGINT AS forms FROM t JOIN stems USING (term) GROUP BY 1")
 def stemmed_terms(spark, d):
     """Stems of all documents' words, how often and in how many documents they stand, and in how many forms."""
-    words = table(spark, d, "documents").select("doc_id", F.explode(fulltext.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    known = words.join(words.select("term").distinct().mapInPandas(fulltext._stemmed, "term string, stem string"), "term")
-    return known.groupBy("stem").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("term").alias("forms"))
+    return fulltext.stem_counts(table(spark, d, "documents"), "doc_id", "text")
 
 
 _AFTER = "SELECT a.doc_id, count(*) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.stem = '{0}' AND b.stem = '{1}' GROUP BY 1"
