@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.stages import discard, stored
@@ -60,33 +60,41 @@ def rated(mu: np.ndarray, phi: np.ndarray, sigma: np.ndarray, certainty: np.ndar
 _STATE = "player string, mu double, phi double, sigma double, period long"
 
 
-def _rated(tau: float):
+def _rated(period: int, tau: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            mu, phi, sigma = rated(*(rows[c].to_numpy() for c in ("mu", "phi", "sigma", "certainty", "gain")), tau)
-            yield pd.DataFrame({"player": rows["player"], "mu": mu, "phi": phi, "sigma": sigma, "period": rows["period"]})
+            played = rows["certainty"].notna().to_numpy()
+            mu, phi, sigma, last = (rows[c].to_numpy(copy=True) for c in ("mu", "phi", "sigma", "period"))
+            now = (rows[c].to_numpy()[played] for c in ("mu", "now", "sigma", "certainty", "gain"))
+            mu[played], phi[played], sigma[played] = rated(*now, tau)
+            last[played] = period
+            yield pd.DataFrame({"player": rows["player"], "mu": mu, "phi": phi, "sigma": sigma, "period": last})
 
     return run
 
 
 def period_ratings(state: DataFrame, results: DataFrame, period: int, tau: float = TAU) -> DataFrame:
-    """The new state of those who play in a period. state: player, mu, phi, sigma, period; results: those of this period.
+    """The state after a period: new values of those who play in it, and all others as they were.
 
-    Each plays the other side's composite: its mean rating, and the root of its squared deviations' sum over its number. A
-    player's deviation grows by the volatility for every period since the last one played.
+    state: player, mu, phi, sigma, period; results: those of this period. Each plays the other side's composite: its mean
+    rating, and the root of its squared deviations' sum over its number. A player's deviation grows by the volatility for
+    every period since the last one played. Results are dealt once by player, if the state is too large to be broadcast, and
+    once by game, where both sides meet; back to the players go sums only.
     """
-    idle = F.greatest(F.lit(period) - F.coalesce("s.period", F.lit(period)) - 1, F.lit(0))
-    own = results.alias("r").join(state.alias("s"), "player", "left").select(
-        "game", "side", "player", "score", F.coalesce("mu", F.lit(0.0)).alias("mu"),
-        F.sqrt(F.pow(F.coalesce("phi", F.lit(DEVIATION / SCALE)), 2) + idle * F.pow(F.coalesce("sigma", F.lit(VOLATILITY)), 2)).alias("phi"),
-        F.coalesce("sigma", F.lit(VOLATILITY)).alias("sigma"),
-    )
-    sides = own.groupBy("game", "side").agg(F.avg("mu").alias("their_mu"), (F.sqrt(F.sum(F.pow("phi", F.lit(2)))) / F.count("*")).alias("their_phi"))
-    met = own.join(sides.select("game", (1 - F.col("side")).alias("side"), "their_mu", "their_phi"), ["game", "side"])
-    g = 1 / F.sqrt(1 + 3 * F.pow("their_phi", F.lit(2)) / np.pi**2)
-    expected = 1 / (1 + F.exp(-g * (F.col("mu") - F.col("their_mu"))))
-    sums = met.groupBy("player").agg(*[F.first(c).alias(c) for c in ("mu", "phi", "sigma")], F.sum(g * g * expected * (1 - expected)).alias("certainty"), F.sum(g * (F.col("score") - expected)).alias("gain"))
-    return sums.withColumn("period", F.lit(period).cast("long")).mapInPandas(_rated(tau), _STATE)
+    idle = F.greatest(F.lit(period) - F.col("period") - 1, F.lit(0))
+    new = (0.0, DEVIATION / SCALE)
+    before = state.withColumn("now", F.sqrt(F.col("phi") * F.col("phi") + idle * F.col("sigma") * F.col("sigma")))
+    own = results.join(before.select("player", "mu", "now"), "player", "left").select("game", "side", "player", "score", F.coalesce("mu", F.lit(new[0])).alias("mu"), F.coalesce("now", F.lit(new[1])).alias("phi"))
+    own = own.repartition("game").dropDuplicates(["game", "side", "player"])
+    game = Window.partitionBy("game")
+    theirs = [[F.when(F.col("side") == 1 - k, x) for x in (F.lit(1), F.col("mu"), F.col("phi") * F.col("phi"))] for k in (0, 1)]
+    sums = [F.struct(F.count(n).over(game).alias("n"), F.sum(mu).over(game).alias("mu"), F.sum(square).over(game).alias("square")) for n, mu, square in theirs]
+    met = own.withColumn("_t", F.when(F.col("side") == 0, sums[0]).otherwise(sums[1])).where("_t.n > 0")
+    met = met.select("player", "score", "mu", (F.col("_t.mu") / F.col("_t.n")).alias("their_mu"), (1 / F.sqrt(1 + 3 * F.col("_t.square") / (F.col("_t.n") * F.col("_t.n")) / np.pi**2)).alias("g"))
+    met = met.withColumn("expected", 1 / (1 + F.exp(-F.col("g") * (F.col("mu") - F.col("their_mu")))))
+    gained = met.groupBy("player").agg(F.sum(F.expr("g * g * expected * (1 - expected)")).alias("certainty"), F.sum(F.expr("g * (score - expected)")).alias("gain"))
+    values = [F.coalesce(c, F.lit(x)).alias(c) for c, x in (("mu", new[0]), ("phi", new[1]), ("now", new[1]), ("sigma", VOLATILITY), ("period", period))]
+    return before.join(gained, "player", "full").select("player", *values, "certainty", "gain").mapInPandas(_rated(period, tau), _STATE)
 
 
 def shown(state: DataFrame, period: int | None = None) -> DataFrame:
@@ -103,20 +111,16 @@ def glicko2(results: DataFrame, tau: float = TAU) -> DataFrame:
     counts once on a side. Rows with a null in any of these are left out. An empty table gives an empty table.
 
     Ratings go from period to period, so periods follow one another: each is a join of its own results with the state, by
-    player, and two sums. The state, one row per player, is written after every period, and a lost executor costs its
-    tasks only. Periods without games cost nothing.
+    player, and two sums. The results are written by period as they come, and the state, one row per player, after every
+    period: a lost executor costs its tasks only. Periods without games cost nothing.
     """
     rows = results.select(F.col("period").cast("long").alias("period"), "game", F.col("side").cast("int").alias("side"), F.col("player").cast("string").alias("player"), F.col("score").cast("double").alias("score"))
-    rows = rows.dropna().dropDuplicates(["period", "game", "side", "player"])
-    both = rows.groupBy("period", "game").agg(F.count_distinct("side").alias("_n")).where("_n = 2").select("period", "game")
-    rows = stored(rows.join(both, ["period", "game"], "left_semi"), by="period")
+    rows = stored(rows.dropna().where("side IN (0, 1)"), by="period")
     periods = [r["period"] for r in rows.select("period").distinct().orderBy("period").collect()]
     state = results.sparkSession.createDataFrame([], _STATE)
     for k, period in enumerate(periods):
-        new = stored(period_ratings(state, rows.where(F.col("period") == period), period, tau))
-        after = stored(state.join(new.select("player"), "player", "left_anti").union(new))
+        after = stored(period_ratings(state, rows.where(F.col("period") == period), period, tau))
         if k:
             discard(state)
-        discard(new)
         state = after
-    return shown(state, periods[-1] if periods else None)
+    return shown(state, state.agg(F.max("period")).first()[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skirmish.operators import glicko
@@ -17,13 +18,12 @@ r AS (
 
 
 def results(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game"), (F.col("l_linenumber") % 2).cast("int").alias("side"), F.col("l_suppkey").cast("string").alias("player"), F.col("l_quantity").alias("units"))
-    units = F.sum("units").alias("units")
-    own, other = lines.groupBy("game", "side").agg(units), lines.groupBy("game", (1 - F.col("side")).alias("side")).agg(units.alias("theirs"))
-    score = F.when(F.col("units") > F.col("theirs"), 1.0).when(F.col("units") < F.col("theirs"), 0.0).otherwise(0.5).alias("score")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game"), (F.col("l_linenumber") % 2).cast("int").alias("side"), F.col("l_suppkey").alias("player"), F.col("l_quantity").alias("units"))
+    of = [F.sum(F.when(F.col("side") == k, F.col("units"))).over(Window.partitionBy("game")) for k in (0, 1)]
+    units, theirs = F.when(F.col("side") == 0, of[0]).otherwise(of[1]), F.when(F.col("side") == 0, of[1]).otherwise(of[0])
+    score = F.when(units > theirs, 1.0).when(units < theirs, 0.0).otherwise(0.5).alias("score")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("game"), (F.year("o_orderdate") * 2 + (F.month("o_orderdate") > 6).cast("int")).cast("long").alias("period"))
-    scores = own.join(other, ["game", "side"]).select("game", "side", score)
-    return lines.select("game", "side", "player").join(scores, ["game", "side"]).join(orders, "game")
+    return lines.select("game", "side", F.col("player").cast("string").alias("player"), score).join(orders, "game")
 
 
 _SLOPE = "exp({0}) * (v * v * gain * gain - phi * phi - v - exp({0})) / (2 * (phi * phi + v + exp({0})) * (phi * phi + v + exp({0}))) - ({0} - ln(sigma * sigma)) / 0.25"

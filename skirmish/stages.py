@@ -31,13 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """df, written to the shared folder and read back: later stages, and ones that run again, start from the files.
 
-    by: a column of few values; readers of one of them read its folder only. A frequent value has several files.
+    by: a column of few values; readers of one of them read its folder only. A value is dealt to as many files as the
+    session has cores, by a hash of its rows, so that as many tasks read it; a frequent value has more.
     """
     path = shared_folder(df.sparkSession)
     if by is None:
         df.write.parquet(path)
     else:
-        df.hint("rebalance", F.col(by)).write.partitionBy(by).parquet(path)
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(df.sparkSession.sparkContext.defaultParallelism))
+        df.withColumn("_part", part).hint("rebalance", F.col(by), F.col("_part")).drop("_part").write.partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
