@@ -774,14 +774,14 @@ def profile_divergence(spark, d):
     return rows.groupBy("user_id").agg(shares.alias("p")).join(F.broadcast(every)).select("user_id", F.round(identity.divergence(F.col("p"), F.col("q")), 9).alias("divergence"))
 
 
-@query("""WITH p AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b, left(x.p_brand, 7) = left(y.p_brand, 7) AS brand, x.p_size = y.p_size AS size FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey WHERE x.p_partkey % 9 = 0),
+@query("""WITH p AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b, left(x.p_brand, 7) = left(y.p_brand, 7) AS brand, x.p_size = y.p_size AS size FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey),
 w AS (SELECT a, brand, size, CASE WHEN brand THEN log2(0.9 / 0.05) ELSE log2((1 - 0.9) / (1 - 0.05)) END + CASE WHEN size THEN log2(0.8 / 0.02) ELSE log2((1 - 0.8) / (1 - 0.02)) END AS weight FROM p GROUP BY ALL)
 SELECT a, brand, size, round(weight, 9) AS weight, CASE WHEN 0.01 * 2 ** weight / (1 - 0.01 + 0.01 * 2 ** weight) >= 0.95 THEN 'same' WHEN 0.01 * 2 ** weight / (1 - 0.01 + 0.01 * 2 ** weight) >= 0.7 THEN 'maybe' ELSE 'other' END AS band FROM w""")
 def linkage_weights(spark, d):
     """Pairs of parts of one name, by whether brand and size agree."""
     # parts that agree in all that is compared are one row: some pair of two such rows is in order if the least key and the greatest are
     part = table(spark, d, "part").select("p_partkey", "p_name", F.substring("p_brand", 1, 7).alias("brand"), "p_size")
-    x = part.where("p_partkey % 9 = 0").groupBy("p_name", "brand", "p_size").agg(F.min("p_partkey").alias("p_partkey"))
+    x = part.groupBy("p_name", "brand", "p_size").agg(F.min("p_partkey").alias("p_partkey"))
     y = part.groupBy("p_name", F.col("brand").alias("b2"), F.col("p_size").alias("s2")).agg(F.max("p_partkey").alias("k2"))
     pairs = x.join(y, "p_name").where("p_partkey < k2").select(F.col("p_name").alias("a"), (F.col("brand") == F.col("b2")).alias("brand"), (F.col("p_size") == F.col("s2")).alias("size")).distinct()
     weight = identity.link_weight({"brand": (0.9, 0.05), "size": (0.8, 0.02)})
