@@ -12,6 +12,13 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / F.lit(scale) if digits else F.floor(x + 0.5)
 
 
+def half_away(x: Column, digits: int) -> Column:
+    """Round halves away from zero, as SQL's round() of a double, without a decimal per row; for finite x * 10^digits below 2^63."""
+    size = F.abs(x * 10.0**digits)
+    whole = F.floor(size)
+    return F.signum(x) * (whole + F.when(size - whole >= 0.5, 1).otherwise(0)) / 10.0**digits
+
+
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
     """scale * a / b, 0 where b is not positive."""
     return F.when(b > 0, scale * a / b).otherwise(F.lit(0.0))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions.numbers import half_up
 from skirmish.functions.strings import edge_trim
+from skirmish.stages import stored
 
 #: The longest recording, in seconds, that a match may lie in.
 LONGEST = 4 * 3600
+#: Numbers of 64 bits that tell whether two lists of names may be alike.
+BITS = 4
+#: So many pairs of one tag and time bin are looked at by a task on the average.
+PAIRS = 20_000_000
 
 
 def plain_names(names: Column) -> Column:
@@ -60,6 +68,18 @@ def _alike_pairs(own: DataFrame, others: DataFrame) -> DataFrame:
     return held.select("_a", "_b").union(holds.select("_a", "_b")).distinct()
 
 
+def _bit(name: Column, k: int) -> Column:
+    """One of 64 bits by the k-th six bits of a name's hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(F.xxhash64(name), 6 * k), F.lit(64)).cast("int"))
+
+
+def _scored(pairs: DataFrame, names: Column) -> DataFrame:
+    offset = F.col("at") - F.col("starts")
+    known = confidence(offset, F.col("has_stats"), names)
+    # each field by itself, so that no struct of all texts is made where one is asked for
+    return pairs.select("recording", "match", offset.alias("offset"), known["score"].alias("score"), known["reasons"].alias("reasons"))
+
+
 def paired(recordings: DataFrame, matches: DataFrame, buffer: float = 120.0, bin_seconds: float = 3600.0) -> DataFrame:
     """Matches within a recording's time, of its team or with two alike names: ``recording``, ``match``, ``offset``, ``score``,
     ``reasons``.
@@ -68,26 +88,36 @@ def paired(recordings: DataFrame, matches: DataFrame, buffer: float = 120.0, bin
     equal time bins and, besides, one of equal tags and one of names known to be alike, so that what meets is what is wanted,
     but for pairs with one alike name. A match lies in one bin, and a pair is taken at its tag or at its first alike names
     only, so that none is doubled.
+
+    Of a pair of one tag, names are compared only where they may be alike: a match's names, and the names that are alike to
+    some of a recording's, are bits of BITS numbers, and pairs without a common bit in each have no alike names.
     """
     number = lambda x: F.floor(x / bin_seconds)
-    spans = recordings.select("recording", F.lower("tag").alias("_tag"), "starts", "ends", plain_names(F.col("names")).alias("_own"), F.explode(F.sequence(number(F.col("starts") - buffer), number(F.col("ends") + buffer))).alias("bin"))
-    met = matches.select("match", "at", F.array_distinct(F.filter(F.transform("tags", F.lower), lambda t: t != "")).alias("_tags"), plain_names(F.col("names")).alias("_others"), "has_stats", number(F.col("at")).alias("bin"))
+    bits = lambda k: F.aggregate("_others", F.lit(0).cast("long"), lambda s, n: s.bitwiseOR(_bit(n, k)))
+    # names are trimmed once
+    own = stored(recordings.select("recording", F.lower("tag").alias("_tag"), "starts", "ends", plain_names(F.col("names")).alias("_own")))
+    met = stored(matches.select("match", "at", F.array_distinct(F.filter(F.transform("tags", F.lower), lambda t: t != "")).alias("_tags"), plain_names(F.col("names")).alias("_others"), "has_stats", number(F.col("at")).alias("bin")))
+    alike = stored(_alike_pairs(own.select(F.explode("_own").alias("_a")).where(F.length("_a") >= 2).distinct(), met.select(F.explode("_others").alias("_b")).distinct()))
+    own = own.withColumn("_set", F.xxhash64("_own"))
+    near = own.select("_set", F.explode("_own").alias("_a")).distinct().join(alike, "_a").groupBy("_set").agg(*[F.bit_or(_bit(F.col("_b"), k)).alias(f"_near{k}") for k in range(BITS)])
+    spans = stored(own.join(near, "_set", "left").drop("_set")).withColumn("bin", F.explode(F.sequence(number(F.col("starts") - buffer), number(F.col("ends") + buffer))))
+    met = stored(met.withColumns({f"_has{k}": bits(k) for k in range(BITS)}))
     in_time = (F.col("at") >= F.col("starts") - buffer) & (F.col("at") < F.col("ends") + buffer)
-    ours = spans.join(met.withColumn("_tag", F.explode("_tags")), ["bin", "_tag"]).where(in_time)
-    alike = _alike_pairs(
-        recordings.select(F.explode(plain_names(F.col("names"))).alias("_a")).where(F.length("_a") >= 2).distinct(),
-        matches.select(F.explode(plain_names(F.col("names"))).alias("_b")).distinct(),
-    )
-    named = spans.withColumn("_a", F.explode("_own")).join(alike, "_a").join(met.withColumn("_b", F.explode("_others")), ["bin", "_b"]).where(in_time)
+    may = reduce(Column.__and__, [F.coalesce(F.col(f"_near{k}").bitwiseAND(F.col(f"_has{k}")) != 0, F.lit(False)) for k in range(BITS)])
+    tagged = met.withColumn("_tag", F.explode("_tags"))
+    # few rows may make many pairs, so tasks are counted by these
+    made = spans.groupBy("bin", "_tag").agg(F.count("*").alias("_n")).join(tagged.groupBy("bin", "_tag").agg(F.count("*").alias("_m")), ["bin", "_tag"]).agg(F.sum(F.col("_n") * F.col("_m").cast("double"))).first()[0]
+    tasks = max(int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((made or 0) / PAIRS))
+    # no broadcast of tables that grow: their files are much smaller than their rows
+    ours = spans.repartition(tasks, "bin", "_tag").join(tagged.repartition(tasks, "bin", "_tag").hint("merge"), ["bin", "_tag"])
+    named = spans.withColumn("_a", F.explode("_own")).join(alike.hint("merge"), "_a").join(met.withColumn("_b", F.explode("_others")).hint("merge"), ["bin", "_b"])
     one = lambda a, b: F.contains(a, b) | F.contains(b, a)
     hits = F.filter("_own", lambda a: (F.length(a) >= 2) & F.exists("_others", lambda b: one(a, b)))
-    named = named.where(~F.coalesce(F.array_contains("_tags", F.col("_tag")), F.lit(False)) & (F.size(hits) >= 2) & (F.get(hits, 0) == F.col("_a")))
-    named = named.where(F.get(F.filter("_others", lambda b: one(F.col("_a"), b)), 0) == F.col("_b"))
+    # the time first: names are compared one by one
+    named = named.where(in_time & ~F.coalesce(F.array_contains("_tags", F.col("_tag")), F.lit(False)) & (F.size(hits) >= 2) & (F.get(hits, 0) == F.col("_a")) & (F.get(F.filter("_others", lambda b: one(F.col("_a"), b)), 0) == F.col("_b")))
     kept = ["recording", "match", "at", "starts", "_own", "_others", "has_stats"]
-    both = ours.select(kept).union(named.select(kept))
-    offset = F.col("at") - F.col("starts")
-    both = both.withColumn("_c", confidence(offset, F.col("has_stats"), _alike(F.col("_own"), F.col("_others"), 3)))
-    return both.select("recording", "match", offset.alias("offset"), "_c.score", "_c.reasons")
+    compared = ours.where(in_time & may).select(kept).union(named.select(kept)).withColumn("_n", _alike(F.col("_own"), F.col("_others"), 3))
+    return _scored(ours.where(in_time & ~may), F.lit(0)).union(_scored(compared, F.col("_n")))
 
 
 def our_team(players: DataFrame, speakers: DataFrame) -> DataFrame:

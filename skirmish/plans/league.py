@@ -334,7 +334,9 @@ def match_recordings(spark, d):
     recordings = rows.where("event_type = 'signup'").select(F.col("event_id").alias("recording"), F.concat(F.lit("t"), user % 8).alias("tag"), at.alias("starts"), (at + 40 * F.col("value")).alias("ends"), tracks.alias("names"))
     own = F.array(*[F.concat(F.lit("•p"), user + k, F.lit(".x")) for k in range(3)], F.lit("•"))
     met = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("match"), at.alias("at"), F.array(F.concat(F.lit("T"), user % 8), F.lit("q")).alias("tags"), own.alias("names"), (F.col("value") > 50).alias("has_stats"))
-    return pairing.paired(recordings, met).select("recording", "match", F.round("offset", 3).alias("offset"), "score", F.get("reasons", 2).alias("reason"))
+    # by itself, so that no other text is made
+    found = pairing.paired(recordings, met).select("recording", "match", "offset", "score", F.get("reasons", 2).alias("reason"))
+    return found.withColumn("offset", M.half_away(F.col("offset"), 3))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS game_id, l_linenumber AS pos, l_linestatus || l_returnflag AS team, l_suppkey % 3 = 0 AS heard FROM lineitem), s AS (SELECT game_id, team, count(*) AS n, min(pos) AS pos FROM p WHERE heard GROUP BY ALL)
